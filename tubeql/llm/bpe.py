@@ -26,7 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch
@@ -39,7 +39,7 @@ AGREED = chr(0x250)
 #: Texts are cut at these first; no pre-token and no added token crosses them.
 BREAKS = "\n\t\r\x0b\x0c"
 #: Entries that a worker's caches of words and of chunks hold before they start anew.
-CACHE = 200_000
+CACHE = 400_000
 NEVER = np.int64(2**40)
 
 
@@ -68,16 +68,16 @@ class Bpe:
         self.byte_of = {c: b for b, c in enumerate(self.alphabet)}
         self.path, self.library = path, None
         pairs = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in model["merges"]]
-        self.rank: dict[tuple[int, int], tuple[int, int]] = {}
+        self.rank: dict[tuple[int, int], int] = {}  # of a pair: its rank, and in the last 20 bits what it makes
         left, right, made = np.full(size, -1), np.full(size, -1), np.full(size, NEVER)
         for r, (a, b) in enumerate(pairs):
             i, j, k = self.vocab[a], self.vocab[b], self.vocab[a + b]
-            self.rank.setdefault((i, j), (r, k))
+            self.rank.setdefault((i, j), (r << 20) | k)
             if made[k] == NEVER:
                 left[k], right[k], made[k] = i, j, r
         code = np.array([(i << 20) | j for i, j in self.rank], dtype=np.int64)
         order = np.argsort(code)
-        self.codes, self.ranks = code[order], np.array([r for r, _ in self.rank.values()], dtype=np.int64)[order]
+        self.codes, self.ranks = code[order], np.array([*self.rank.values()], dtype=np.int64)[order] >> 20
         self.right_spine, self.right_until = self._spines(right, made)
         self.left_spine, self.left_until = self._spines(left, made)
         whole = left >= 0
@@ -85,9 +85,22 @@ class Bpe:
         sound[whole] = self.compatible(left[whole], right[whole], made[whole])
         for k in np.argsort(np.where(whole, made, NEVER), kind="stable")[: whole.sum()]:
             sound[k] &= sound[left[k]] and sound[right[k]]
-        self.words: dict[str, list[int]] = {}
-        self.usable = {x: i for x, i in self.vocab.items() if sound[i]}  # those that come out of their own string
-        self.longest = max(map(len, self.usable), default=1)
+        self.packed = [k.to_bytes(4, "little") for k in range(size)]
+        self.words: dict[str, bytes] = {}
+        # Only tokens that come out of their own string are proposed: those inside words, by all their beginnings
+        # (-1 where a beginning is no token), and those at the ends of words, without the mark of the end.
+        self.inner: dict[str, int] = {}
+        self.final: dict[str, int] = {}
+        for x, i in self.vocab.items():
+            if sound[i]:
+                ends = bool(self.end) and x.endswith(self.end)
+                x = x[: len(x) - len(self.end) * ends]
+                for k in range(1, len(x)):
+                    self.inner.setdefault(x[:k], -1)
+                if ends:
+                    self.final[x] = i
+                else:
+                    self.inner[x] = i
         self.known = np.zeros(0, dtype=np.int64)
         self.known_ok = np.zeros(0, dtype=bool)
 
@@ -145,30 +158,40 @@ class Bpe:
 
     def propose(self, symbols: str) -> list[int] | None:
         """Greedy longest match from the left; None where a symbol has no usable token."""
-        out, i, n, usable = [], 0, len(symbols), self.usable
+        out, i, n, inner = [], 0, len(symbols), self.inner.get
         while i < n:
-            for j in range(min(n, i + self.longest), i, -1):
-                k = usable.get(symbols[i:j] if j < n else symbols[i:] + self.end)
-                if k is not None:
-                    out.append(k)
-                    i = j
+            best, end = -1, i
+            for j in range(i + 1, n):
+                k = inner(symbols[i:j])
+                if k is None:
                     break
+                if k >= 0:
+                    best, end = k, j
             else:
+                k = self.final.get(symbols[i:])
+                if k is not None:
+                    best, end = k, n
+            if best < 0:
                 return None
+            out.append(best)
+            i = end
         return out
 
     def merge(self, symbols: str) -> list[int]:
         """Exact merging: the lowest rank first, the leftmost of equals."""
         ids = [self.vocab[x] for x in symbols[:-1]] + [self.vocab[symbols[-1] + self.end]]
-        rank = self.rank
         if len(ids) > 256:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best = min([(rank[p][0], i) for i, p in enumerate(zip(ids, ids[1:])) if p in rank], default=None)
-            if best is None:
-                break
-            i = best[1]
-            ids[i : i + 2] = [rank[ids[i], ids[i + 1]][1]]
+        get, never = self.rank.get, 1 << 60
+        ranks = [get(p, never) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) != never:
+            i = ranks.index(best)
+            ids[i : i + 2] = [best & 0xFFFFF]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), never)
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), never)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -177,21 +200,20 @@ class Bpe:
 
         rank, n = self.rank, len(ids)
         after, before = [*range(1, n), -1], list(range(-1, n - 1))
-        heap = [(*rank[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
-        heap = [(r, i, p, k) for r, k, i, p in heap]
+        heap = [(rank[p], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in rank]
         heapq.heapify(heap)
         while heap:
-            _, i, (a, b), made = heapq.heappop(heap)
+            best, i, (a, b) = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j < 0 or ids[j] != b:
                 continue
-            ids[i], ids[j] = made, -1
+            ids[i], ids[j] = best & 0xFFFFF, -1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left in (before[i], i):
                 if left >= 0 and after[left] >= 0 and (p := (ids[left], ids[after[left]])) in rank:
-                    heapq.heappush(heap, (rank[p][0], left, p, rank[p][1]))
+                    heapq.heappush(heap, (rank[p], left, p))
         out, i = [], 0
         while i >= 0:
             out.append(ids[i])
@@ -199,9 +221,9 @@ class Bpe:
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Puts the encodings of words into self.words."""
+        """Puts the encodings of words, packed, into self.words."""
         if len(self.words) + len(words) > CACHE:
-            self.words.clear()
+            self.words = {w: self.words[w] for w in words if w in self.words}
         symbols = {w: self._symbols(w) for w in words if w not in self.words}
         tried = [(w, s, self.propose(s)) for w, s in symbols.items()]
         flat = np.array([k for _, _, ids in tried for k in ids or ()], dtype=np.int64)
@@ -216,13 +238,20 @@ class Bpe:
         wrong = np.cumsum(wrong)
         failed = (wrong[ends] - wrong[ends - sizes]) > 0
         for (w, s, ids), bad in zip(tried, failed):
-            self.words[w] = self.merge(s) if bad or ids is None else ids
+            found = self.merge(s) if bad or ids is None else ids
+            self.words[w] = b"".join([self.packed[k] for k in found])
 
     def pieces(self, chunk: str) -> list[str | int]:
         """Words, and the ids of added tokens, of a text without breaks."""
-        parts = self.split_added.split(chunk) if self.split_added and not self.added_head.isdisjoint(chunk) else [chunk]
+        if chunk.isascii():
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[:-1].isalpha() and chunk[-1] in ".,:;!?":
+                return [chunk[:-1].lower(), chunk[-1]]
+        if not any(x in chunk for x in self.added_head):
+            return self.split(chunk)
         out: list[str | int] = []
-        for x in parts:
+        for x in self.split_added.split(chunk):
             if x in self.added:
                 out.append(self.added[x])
             elif x:
@@ -257,17 +286,19 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [cut(t or "") for t in texts]
-        if len(self.chunks) > CACHE:
-            self.chunks.clear()
-        chunks = self.chunks
-        new = {c for x in split for c in x if c not in chunks}
-        pieces = {c: self.bpe.pieces(c) for c in new}
+        new: set[str] = set()
+        for x in split:
+            new.update(set(x).difference(self.chunks))
+        if len(self.chunks) + len(new) > CACHE:  # the chunks of these texts stay, and with them the frequent ones
+            seen = set().union(*split)
+            self.chunks = {c: ids for c, ids in self.chunks.items() if c in seen}
+        chunks, pieces = self.chunks, {c: self.bpe.pieces(c) for c in new}
         self.bpe.learn({w for x in pieces.values() for w in x if isinstance(w, str)})
-        words = self.bpe.words
+        words, packed = self.bpe.words, self.bpe.packed
         for c, x in pieces.items():
-            ids = [k for w in x for k in ((w,) if isinstance(w, int) else words[w])]
-            chunks[c] = np.array(ids, dtype="<u4").tobytes()
-        return [b"".join([chunks[c] for c in x]) for x in split]
+            chunks[c] = words[x[0]] if len(x) == 1 and isinstance(x[0], str) else b"".join([packed[w] if isinstance(w, int) else words[w] for w in x])
+        get = chunks.__getitem__
+        return [b"".join(map(get, x)) for x in split]
 
 
 @lru_cache(maxsize=4)
@@ -303,7 +334,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
+def digests() -> list[Column]:
+    """n_tokens and the SHA-256 of the ids and of the decoded text, from the columns of decode()."""
+    return [F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")]
+
+
 def digest(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text, for each document."""
-    done = decode(encode(docs, path), path)
-    return done.select("doc_id", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id and digests() for each document."""
+    return decode(encode(docs, path), path).select("doc_id", *digests())
