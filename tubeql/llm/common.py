@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the word pattern [^\x20\x09-\x0D]+, as bytes.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -47,5 +49,17 @@ def longs(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: list[tuple[str, str]] | None = None, less: list[str] | None = None) -> DataFrame:
+    """df.mapInArrow for tables with any column names: in run the columns are c0, c1, ...
+
+    run returns the columns of df without those in less, and after them those in more (name, type), under the names
+    c0, c1, ... too.
+    """
+    fields = [f for f in df.schema.fields if f.name not in (less or ())]
+    fields += [T.StructField(name, T._parse_datatype_string(kind)) for name, kind in more or ()]
+    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(fields)])
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(run, schema).toDF(*[f.name for f in fields])
+
+
 def batch(names: list[str], *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in columns], names=names)

@@ -24,9 +24,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import SPACE, as_bytes, batch, checkpoint, longs, row_key
+from .common import SPACE, as_bytes, batch, checkpoint, longs, map_rows, row_key
 
 DECIDED, OPEN, EDGE = 0, 1, 2
 LINE = ["h1", "h2", "k1", "k2", "pos"]
@@ -186,7 +185,7 @@ def deduplicate(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
     keyed = docs.withColumn("_k1", k1).withColumn("_k2", k2)
     joined = keyed.join(maps.hint("shuffle_hash"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
     where, found = joined.columns.index("text"), joined.columns.index("_bitmap")
-    names = [*docs.columns, "_n_lines", "_n_dropped"]
+    names = [f"c{i}" for i in range(len(docs.columns) + 2)]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,7 +205,7 @@ def deduplicate(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
             columns[where] = pa.array(texts, pa.binary()).cast(pa.string())
             yield batch(names, *columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()))
 
-    return joined.mapInArrow(apply, T.StructType([*docs.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_dropped", T.LongType())]))
+    return map_rows(joined, apply, [("_n_lines", "long"), ("_n_dropped", "long")], ["_bitmap"])
 
 
 def digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:

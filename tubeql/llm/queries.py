@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, quality, simhash, urls
+from . import bpe, decontaminate, line_dedup, quality, simhash, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +26,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), words=5, share=0.8)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -38,9 +42,15 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_simhash, op2_bpe, op6_quality, op9_line_dedup, op10_url_filter)}
+    return {f.__name__: f for f in (op1_simhash, op2_bpe, op3_decontaminate, op6_quality, op9_line_dedup, op10_url_filter, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": urls.oracle()}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op10_url_filter": urls.oracle()}
