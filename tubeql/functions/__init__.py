@@ -1 +1 @@
-
+"""Column builders: boxes and vectors."""

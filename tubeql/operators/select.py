@@ -1,0 +1,51 @@
+"""Greedy suppression, top-k, caps and first maxima. Ties fall to the smaller id, as in a stable sort."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import window as W
+
+from ..functions.box import COORDS, box, iou
+
+
+def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int | None) -> DataFrame:
+    """The first n rows of each key; all if n is None. Spark keeps n rows a key before the shuffle already."""
+    if n is None:
+        return df
+    w = W.Window.partitionBy(*keys).orderBy(*order)
+    return df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
+
+
+def top_k(df: DataFrame, keys: list[str], by: str, n: int | None, tie: str) -> DataFrame:
+    return first_rows(df, keys, [F.col(by).desc(), F.col(tie)], n)
+
+
+def first_max(df: DataFrame, keys: list[str], by: str, tie: str) -> DataFrame:
+    """The first maximum of each key, as an aggregate that is combined before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    head = F.min(F.struct((-F.col(by)).alias("_by"), F.col(tie).alias("_tie"), *rest)).alias("_head")
+    return df.groupBy(*keys).agg(head).select(*keys, *[F.col(f"_head.{c}") for c in rest])
+
+
+def nms(df: DataFrame, keys: list[str], by: str, threshold: float, tie: str) -> DataFrame:
+    """Greedy non-maximum suppression inside each key: a box goes if its IoU with a kept one exceeds threshold.
+
+    A key's boxes are one array (a frame's, so their number is bounded by the model's), folded in order of score.
+    _nms_rank counts the kept boxes of a key from 1.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    item = F.struct((-F.col(by)).alias("_by"), F.col(tie).alias("_tie"), *rest)
+    fields = T.StructType([T.StructField("_by", T.DoubleType()), T.StructField("_tie", df.schema[tie].dataType), *[T.StructField(c, df.schema[c].dataType) for c in rest]])
+    none = F.array().cast(T.ArrayType(fields))
+    keep = lambda kept, b: F.when(F.exists(kept, lambda k: iou(box(of=k), box(of=b)) > threshold), kept).otherwise(F.concat(kept, F.array(b)))
+    folded = df.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).cast(T.ArrayType(fields)).alias("_all")).select(*keys, F.aggregate("_all", none, keep).alias("_kept"))
+    return folded.select(*keys, F.posexplode("_kept").alias("_i", "_b")).select(*keys, *[F.col(f"_b.{c}") for c in rest], (F.col("_i") + 1).alias("_nms_rank"))
+
+
+def overlapping_pairs(df: DataFrame, keys: list[str], tie: str, threshold: float) -> DataFrame:
+    """Pairs of one key's boxes whose IoU exceeds threshold."""
+    other = df.select(*keys, F.col(tie).alias("other_id"), *[F.col(c).alias("o_" + c) for c in COORDS])
+    pairs = df.select(*keys, tie, *COORDS).join(other, keys).where(F.col(tie) < F.col("other_id"))
+    return pairs.withColumn("iou", iou(box(), box("o_"))).where(F.col("iou") > threshold).select(*keys, tie, "other_id", "iou")

@@ -1 +1 @@
-
+"""Configuration, composite plans, and the stage runner."""
