@@ -64,10 +64,11 @@ def standardize(v: Column, mean: list[float], std: list[float]) -> Column:
     return F.transform(doubles(v), lambda x, i: (x / 255 - at(mean, i)) / at(std, i))
 
 
-def elementwise(df: DataFrame, keys: list[str], vector: str, out: str, how: str = "mean", weight: str | None = None) -> DataFrame:
+def elementwise(df: DataFrame, keys: list[str], vector: str, out: str, how: str = "mean", weight: str | None = None, count: str | None = None) -> DataFrame:
     """One vector for each key: element by element the mean (weighted if weight is given) or the maximum.
 
-    Elements are aggregated as rows, combined before the shuffle, so a key may have any number of vectors.
+    Elements are aggregated as rows, combined before the shuffle, so a key may have any number of vectors. count
+    names a column for their number.
     """
     columns = [*keys, vector, *([weight] if weight else [])]
     rows = df.select(*columns).select(*keys, *([weight] if weight else []), F.posexplode(doubles(F.col(vector))).alias("_pos", "_x"))
@@ -77,5 +78,6 @@ def elementwise(df: DataFrame, keys: list[str], vector: str, out: str, how: str
         value = F.sum(F.col("_x") * F.col(weight)) / F.sum(weight)
     else:
         value = F.avg("_x")
-    parts = rows.groupBy(*keys, "_pos").agg(value.alias("_x"))
-    return parts.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda s: s["_x"]).alias(out))
+    parts = rows.groupBy(*keys, "_pos").agg(value.alias("_x"), F.count("*").alias("_n"))
+    found = F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_x"))), lambda s: s["_x"]).alias(out)
+    return parts.groupBy(*keys).agg(found, *([F.max("_n").alias(count)] if count else []))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from . import select
+from .shared import settle
 
 #: Prototypes and references are one row a video; up to this many videos they are broadcast.
 MAX_BROADCAST_VIDEOS = 10_000
@@ -40,7 +41,8 @@ def refine(candidates: DataFrame, prototypes: DataFrame, rounds: int = 2, alpha:
 
     Best are those at the percentile of the video's scores or above, and at floor at least. A video with fewer than
     `support` of them stops, for all further rounds. multi: the vectors' mean joins the video's list of vectors
-    (video_id, vecs) instead. The rounds are one lazy plan; videos that stop stay in it by left joins.
+    (video_id, vecs) instead. Videos that stop stay by left joins. The prototypes, a row a video, are settled after
+    each round, so candidates are scored twice a round and not twice as often with every round.
     """
     key = "vecs" if multi else "vec"
     protos = prototypes.select("video_id", key, F.lit(False).alias("updated"), F.lit(True).alias("going"))
@@ -49,12 +51,12 @@ def refine(candidates: DataFrame, prototypes: DataFrame, rounds: int = 2, alpha:
         scored = rate(protos)
         bar = scored.groupBy("video_id").agg(F.greatest(F.percentile("sim", percentile / 100), F.lit(floor)).alias("bar"))
         best = scored.join(bar, "video_id").where(F.col("sim") >= F.col("bar"))
-        n = best.groupBy("video_id").agg(F.count("*").alias("n"))
-        mean = vec.elementwise(best, ["video_id"], "feature", "mean")
-        found = n.join(mean, "video_id").where(F.col("n") >= support).select("video_id", vec.normalize(F.col("mean"), "eps").alias("mean"))
+        mean = vec.elementwise(best, ["video_id"], "feature", "mean", count="n")
+        found = mean.where(F.col("n") >= support).select("video_id", vec.normalize(F.col("mean"), "eps").alias("mean"))
         moves = F.col("going") & F.col("mean").isNotNull()
         new = F.concat(F.col("vecs"), F.array("mean")) if multi else vec.normalize(vec.blend(F.col("vec"), F.col("mean"), alpha), "eps")
-        protos = protos.join(found, "video_id", "left").select("video_id", F.when(moves, new).otherwise(F.col(key)).alias(key), (F.col("updated") | moves).alias("updated"), moves.alias("going"))
+        moved = protos.join(found, "video_id", "left").select("video_id", F.when(moves, new).otherwise(F.col(key)).alias(key), (F.col("updated") | moves).alias("updated"), moves.alias("going"))
+        protos = settle(moved)
     return rate(protos), protos.drop("going")
 
 
