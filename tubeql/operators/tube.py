@@ -10,7 +10,8 @@ from pyspark.sql.window import Window
 
 from ..functions.box import COORDS
 
-IN_TIME = Window.partitionBy("video_id").orderBy("frame")
+def in_time():
+    return Window.partitionBy("video_id").orderBy("frame")
 
 
 def ema(tube: DataFrame, alpha: float = 0.6) -> DataFrame:
@@ -23,7 +24,7 @@ def ema(tube: DataFrame, alpha: float = 0.6) -> DataFrame:
         raise ValueError("alpha must be above 0 and at most 1")
     back = 0 if alpha == 1 else ceil(log(1e-16) / log(1 - alpha))
     step = lambda s, b: F.struct(*[(alpha * b[c] + (1 - alpha) * s[c]).alias(c) for c in COORDS])
-    last = F.collect_list(F.struct(*COORDS)).over(IN_TIME.rowsBetween(-back, 0))
+    last = F.collect_list(F.struct(*COORDS)).over(in_time().rowsBetween(-back, 0))
     held = tube.withColumn("_last", last)
     smooth = F.aggregate(F.slice("_last", 2, back + 1), F.get("_last", F.lit(0)), step)
     return held.withColumn("_s", smooth).withColumns({c: F.col(f"_s.{c}") for c in COORDS}).drop("_last", "_s")
@@ -32,7 +33,7 @@ def ema(tube: DataFrame, alpha: float = 0.6) -> DataFrame:
 def fill_gaps(tube: DataFrame, max_gap: int = 3) -> DataFrame:
     """(video_id, frame, box, score) with inner gaps of 1 to max_gap frames filled by straight lines; a filled
     frame's score is the mean of its neighbours'."""
-    after = {f"_{c}": F.lead(c).over(IN_TIME) for c in ("frame", *COORDS, "score")}
+    after = {f"_{c}": F.lead(c).over(in_time()) for c in ("frame", *COORDS, "score")}
     gap = F.col("_frame") - F.col("frame") - 1
     steps = tube.select("video_id", "frame", *COORDS, "score").withColumns(after)
     steps = steps.withColumn("_gap", F.when(gap.between(1, max_gap), gap).otherwise(0)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_gap").cast("int"))))
@@ -44,7 +45,7 @@ def fill_gaps(tube: DataFrame, max_gap: int = 3) -> DataFrame:
 
 def segments(tube: DataFrame) -> DataFrame:
     """tube with segment, the number of its run of consecutive frames, and segment_len."""
-    island = tube.withColumn("_island", F.col("frame") - F.row_number().over(IN_TIME))
+    island = tube.withColumn("_island", F.col("frame") - F.row_number().over(in_time()))
     counted = island.withColumn("segment_len", F.count("*").over(Window.partitionBy("video_id", "_island")).cast("int"))
     return counted.withColumn("segment", F.dense_rank().over(Window.partitionBy("video_id").orderBy("_island"))).drop("_island")
 
