@@ -36,6 +36,12 @@ def score_multi(candidates: DataFrame, lists: DataFrame, metric: str = "cosine",
     return _with(candidates, lists.select("video_id", "vecs"), n_videos).withColumn("sim", vec.total(each) / F.size("vecs")).drop("vecs")
 
 
+def high_confidence(scored: DataFrame, percentile: float = 90, floor: float = 0.15) -> DataFrame:
+    """Scores at the percentile of their video or above, and at floor at least."""
+    bar = scored.groupBy("video_id").agg(F.greatest(F.percentile("sim", percentile / 100), F.lit(floor)).alias("bar"))
+    return scored.join(bar, "video_id").where(F.col("sim") >= F.col("bar"))
+
+
 def refine(candidates: DataFrame, prototypes: DataFrame, rounds: int = 2, alpha: float = 0.3, percentile: float = 90, floor: float = 0.15, support: int = 2, metric: str = "cosine", multi: bool = False) -> tuple[DataFrame, DataFrame]:
     """(scored candidates, prototypes with updated): each round draws a video's prototype to its best candidates.
 
@@ -49,8 +55,7 @@ def refine(candidates: DataFrame, prototypes: DataFrame, rounds: int = 2, alpha:
     rate = lambda p: score_multi(candidates, p, metric) if multi else score(candidates, p, metric)
     for _ in range(rounds):
         scored = rate(protos)
-        bar = scored.groupBy("video_id").agg(F.greatest(F.percentile("sim", percentile / 100), F.lit(floor)).alias("bar"))
-        best = scored.join(bar, "video_id").where(F.col("sim") >= F.col("bar"))
+        best = high_confidence(scored, percentile, floor)
         mean = vec.elementwise(best, ["video_id"], "feature", "mean", count="n")
         found = mean.where(F.col("n") >= support).select("video_id", vec.normalize(F.col("mean"), "eps").alias("mean"))
         moves = F.col("going") & F.col("mean").isNotNull()

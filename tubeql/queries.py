@@ -648,3 +648,57 @@ def first_references(spark, sf):
 @query(with_views("SELECT CAST(video_id AS VARCHAR) AS video_id, min('d/' || video_id || '/' || cand_id || '.mp4') AS path FROM cand GROUP BY video_id", "cand"))
 def video_discovery(spark, sf):
     return frame_source.discover(fx.cand(spark, sf).select(F.concat(F.lit("d/"), F.col("video_id").cast("string"), F.lit("/"), F.col("cand_id").cast("string"), F.lit(".mp4")).alias("path")))
+
+
+# ---- further operators ------------------------------------------------------------------------------------------
+
+
+@query(with_views("m AS (SELECT video_id, ref_id, pos, avg(x) AS x FROM (SELECT video_id, ref_id, unnest(feature) AS x, generate_subscripts(feature, 1) - 1 AS pos FROM refs) GROUP BY ALL), w AS (SELECT video_id, ref_id, max(CASE WHEN mask_ratio >= 0.2 AND mask_ratio <= 0.6 THEN mask_ratio ELSE 448 * 336 / (640.0 * 480) END) AS mr FROM refs GROUP BY ALL), p0 AS (SELECT video_id, pos, sum(x * (mr + 1e-4)) / sum(mr + 1e-4) AS x FROM m JOIN w USING (video_id, ref_id) GROUP BY ALL), pn AS (SELECT video_id, sqrt(sum(x * x)) AS n FROM p0 GROUP BY video_id) SELECT video_id, CAST(pos AS INTEGER) AS pos, round(x / n, 6) AS value FROM p0 JOIN pn USING (video_id)", "refs"))
+def stage1_prototype(spark, sf):
+    """Masks checked and replaced, views to references, references to a prototype."""
+    views = prototype.masks(fx.refs(spark, sf).withColumns({"width": F.lit(640), "height": F.lit(480)}), 0.2, 0.6)
+    refs = prototype.ref_means(views.drop("mask_ratio").withColumnRenamed("used_ratio", "mask_ratio"))
+    return exploded(prototype.fuse(refs), ["video_id"], "vec")
+
+
+@query(with_views(_SCORED + ", hb AS (SELECT video_id, greatest(0.15, quantile_cont(sim, 0.9)) AS bar FROM sc GROUP BY video_id) SELECT cand_id, video_id FROM sc JOIN hb USING (video_id) WHERE sim >= bar", "refs", "cand_feat"))
+def high_confidence(spark, sf):
+    scored = match.score(fx.cand_feat(spark, sf), _proto(spark, sf))
+    return match.high_confidence(scored, 90, 0.15).select("cand_id", "video_id")
+
+
+@query(with_views("SELECT video_id, frame, cand_id FROM cand WHERE video_id = 3 AND frame = 100", "cand"))
+def point_lookup(spark, sf):
+    return fx.cand(spark, sf).where("video_id = 3 AND frame = 100").select(*KEYS, "cand_id")
+
+
+@query(with_views("SELECT video_id, frame, x1 FROM pred WHERE frame % 3 = 0", "pred"))
+def present_frames(spark, sf):
+    """Dense tracks to a tube: frames without a box have no row."""
+    tracks = track.track(fx.track_inputs(spark, sf), track.Rules(tracker=False))
+    return tracks.where(F.col("x1").isNotNull()).select(*KEYS, "x1")
+
+
+@query(with_views("SELECT cand_id, CAST(pos AS INTEGER) AS pos, round((value * 1000 / 255 - CASE pos % 3 WHEN 0 THEN 0.485 WHEN 1 THEN 0.456 ELSE 0.406 END) / CASE pos % 3 WHEN 0 THEN 0.229 WHEN 1 THEN 0.224 ELSE 0.225 END, 6) AS value FROM (SELECT cand_id, unnest(feature[1:6]) AS value, generate_subscripts(feature[1:6], 1) - 1 AS pos FROM cand_feat WHERE cand_id < 500)", "cand_feat"))
+def standardized(spark, sf):
+    """Interleaved channels, scaled and standardised."""
+    c = fx.cand_feat(spark, sf).where("cand_id < 500").withColumn("v", F.transform(F.slice("feature", 1, 6), lambda x: x * 1000))
+    return exploded(c.select("cand_id", vec.standardize(F.col("v"), [0.485, 0.456, 0.406], [0.229, 0.224, 0.225]).alias("s")), ["cand_id"], "s")
+
+
+@query(with_views("SELECT CAST(video_id AS VARCHAR) AS video_id, frame, x1 FROM gt WHERE video_id < 5 UNION ALL SELECT CAST(video_id AS VARCHAR), frame, x1 FROM pred WHERE video_id >= 5", "gt", "pred"))
+def gather_documents(spark, sf):
+    """Documents of several files together."""
+    text = lambda df: submissions.documents(df).select(F.concat(F.lit("["), "entry", F.lit("]")).alias("value"))
+    both = text(fx.gt(spark, sf).where("video_id < 5")).unionByName(text(fx.pred(spark, sf).where("video_id >= 5")))
+    return submissions.tubes(submissions.parse(both)).select(*KEYS, "x1")
+
+
+@query()
+def propose_and_embed(spark, sf):
+    """Stub models over keyframes: proposals, then features of their crops."""
+    from .plans import plugins
+
+    frames = tiles.keyframes(fx.cand(spark, sf).select(*KEYS).distinct(), 8).withColumns({"width": F.lit(1920), "height": F.lit(1080), "payload": F.encode(F.concat_ws("/", *KEYS), "utf-8")})
+    crops = plugins.propose(frames).withColumn("payload", F.encode(F.concat_ws("/", *KEYS, "prop_id"), "utf-8"))
+    return plugins.embed(crops).select(*KEYS, "prop_id", *r6(*B, "score"), F.round(vec.norm(F.col("feature")), 4).alias("norm"))
