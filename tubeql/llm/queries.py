@@ -72,4 +72,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op10_url_filter": urls.oracle()}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_url_filter": urls.oracle()}
