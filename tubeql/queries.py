@@ -667,9 +667,9 @@ def high_confidence(spark, sf):
     return match.high_confidence(scored, 90, 0.15).select("cand_id", "video_id")
 
 
-@query(with_views("SELECT video_id, frame, cand_id FROM cand WHERE video_id = 3 AND frame = 100", "cand"))
+@query(with_views("SELECT video_id, frame, cand_id FROM cand WHERE video_id = 0 AND frame = 17", "cand"))
 def point_lookup(spark, sf):
-    return fx.cand(spark, sf).where("video_id = 3 AND frame = 100").select(*KEYS, "cand_id")
+    return fx.cand(spark, sf).where("video_id = 0 AND frame = 17").select(*KEYS, "cand_id")
 
 
 @query(with_views("SELECT video_id, frame, x1 FROM pred WHERE frame % 3 = 0", "pred"))
