@@ -33,6 +33,7 @@ SMOOTH = 16.0
 #: those labelled bad do that pass the base rules.
 THRESHOLD = -0.2
 WINDOW = 5
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 #: The characters that count as symbols.
 NOT_SYMBOLS = r"[^#*$%&|<>]+"
 
@@ -70,18 +71,29 @@ def covered(windows: Column, width: int = WINDOW) -> Column:
     return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(positions(h), total)))
 
 
-def base_features(text: Column) -> dict[str, Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
+def base_struct(text: Column) -> Column:
+    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed) of a text, each computed once."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    repeated = let(word_hashes(words(text)), lambda h: F.struct(F.size(h).alias("n"), covered(grams(h, WINDOW)).alias("r")))
-    return {
-        "n_words": repeated["n"].cast("long"),
-        "word_chars": F.length(F.array_join(words(text), "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(text, NOT_SYMBOLS, "")).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeated["r"].cast("long"),
-    }
+
+    def counts(ws: Column) -> Column:
+        return F.struct(
+            F.size(ws).cast("long").alias("n"),
+            F.length(F.array_join(ws, "")).cast("long").alias("chars"),
+            let(word_hashes(ws), lambda h: covered(grams(h, WINDOW))).cast("long").alias("r"),
+        )
+
+    def whole(x: Column) -> Column:
+        return F.struct(
+            x["n"].alias("n_words"),
+            x["chars"].alias("word_chars"),
+            F.length(F.regexp_replace(text, NOT_SYMBOLS, "")).cast("long").alias("n_symbols"),
+            let(lines, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("long").alias("n_dup_lines"),
+            x["r"].alias("n_repeat_words"),
+            ((x["n"] < 10) | (100 * x["r"] > 20 * x["n"])).alias("failed"),
+        )
+
+    return let(let(words(text), counts), whole)
 
 
 def buckets(text: Column, n_buckets: int = N_BUCKETS) -> Column:
@@ -117,14 +129,12 @@ def score(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS, limit:
 
 
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_buckets: int = N_BUCKETS, limit: int = TRUSTED) -> DataFrame:
-    """All columns of docs, then _base (struct of the base counts), _base_failed, _score and _kept."""
-    base = F.struct(*[c.alias(n) for n, c in base_features(F.col("text")).items()])
-    scored = score(docs, labels, n_buckets, limit).withColumn("_base", base)
-    failed = (F.col("_base.n_words") < 10) | (100 * F.col("_base.n_repeat_words") > 20 * F.col("_base.n_words"))
-    return scored.withColumn("_base_failed", failed).withColumn("_kept", ~F.col("_base_failed") & (F.col("_score") >= threshold))
+    """All columns of docs, then _score, _base (struct of the base counts and failed) and _kept."""
+    scored = score(docs, labels, n_buckets, limit).withColumn("_base", base_struct(F.col("text")))
+    return scored.withColumn("_kept", ~F.col("_base.failed") & (F.col("_score") >= threshold))
 
 
 def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: the base counts, base_failed, kept, score."""
     done = judge(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels.select("doc_id", "quality"), threshold)
-    return done.select("doc_id", "_base.*", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.round("_score", 6).alias("score"))
+    return done.select("doc_id", *[F.col(f"_base.{c}") for c in COUNTS], F.col("_base.failed").alias("base_failed"), F.col("_kept").alias("kept"), F.round("_score", 6).alias("score"))
