@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch
+from .common import batch, give_back
 
 #: The pre-token pattern of the vocabulary file, for code points below AGREED.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r\x20\x85\xa0\p{L}\p{N}]+")
@@ -39,7 +39,7 @@ AGREED = chr(0x250)
 #: Texts are cut at these first; no pre-token and no added token crosses them.
 BREAKS = "\n\t\r\x0b\x0c"
 #: Entries that a worker's caches of words and of chunks hold before they start anew.
-CACHE = 400_000
+CACHE = 200_000
 NEVER = np.int64(2**40)
 
 
@@ -301,11 +301,29 @@ class Encoder:
         return [b"".join(map(get, x)) for x in split]
 
 
+    def forget(self) -> None:
+        """Gives the caches' memory back: Spark keeps workers, and with them what they hold, for other tasks."""
+        self.chunks, self.bpe.words = {}, {}
+        self.bpe.known, self.bpe.known_ok = self.bpe.known[:0].copy(), self.bpe.known_ok[:0].copy()
+
+
 @lru_cache(maxsize=4)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+@lru_cache(maxsize=4)
+def token_strings(path: str) -> np.ndarray:
+    """By id; all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = spec["model"]["vocab"] | {x["content"]: x["id"] for x in spec["added_tokens"]}
+    out = np.full(max(ids.values()) + 1, "", dtype=object)
+    for x, i in ids.items():
+        out[i] = x
+    return out
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids): ids are bytes, little-endian unsigned 32-bit integers, without special tokens around them."""
 
@@ -315,6 +333,8 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 yield batch(["doc_id", "ids"], part.column(0), pa.array(own.encode(part.column(1).to_pylist()), pa.binary()))
+        own.forget()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids binary")
@@ -324,12 +344,13 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): the tokens' strings with a space between them, special tokens too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = np.array(encoder(path).bpe.tokens, dtype=object)
+        tokens = token_strings(path)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = [" ".join(tokens[np.frombuffer(x or b"", dtype="<u4")]) for x in part.column(1).to_pylist()]
                 yield batch(["doc_id", "ids", "decoded"], part.column(0), part.column(1), pa.array(texts, pa.string()))
+        give_back()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
 
