@@ -1,0 +1,62 @@
+import random
+import re
+
+import corpus_pipeline
+from test_simhash import LOWER, SCHEMA
+
+from tubeql.llm import jaccard
+
+
+def shingles(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
+
+
+def brute(rows):
+    """doc_ids that stay by trying all pairs."""
+    sets = [shingles(t) for _, t in rows]
+    left, out = set(range(len(rows))), []
+    while left:
+        front = [left.pop()]
+        group = set(front)
+        while front:
+            x = sets[front.pop()]
+            near = {k for k in left if x == sets[k] or 5 * len(x & sets[k]) >= 4 * len(x | sets[k]) > 0}
+            left -= near
+            front.extend(near)
+            group |= near
+        out.append(min(rows[k][0] for k in group))
+    return sorted(out)
+
+
+def made(seed=5):
+    rng = random.Random(seed)
+    new = lambda n: ["".join(rng.choice("abcdefghijkl") for _ in range(4)) for _ in range(n)]
+    passage, rows = new(40), []
+    for _ in range(60):
+        base = new(rng.choice([5, 12, 80, 400]))
+        if rng.random() < 0.5:
+            base += passage
+        for _ in range(rng.choice([1, 2, 5])):
+            w = list(base)
+            for _ in range(rng.randint(0, max(1, len(w) // 40))):
+                w[rng.randrange(len(w))] = new(1)[0]
+            rows.append(" ".join(w))
+    rows += [None, "", " \n ", "One two", "one TWO", "word " * 5_000]
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+def test_stage_keeps_what_brute_force_keeps(spark):
+    rows = made()
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
+    assert sorted(r.doc_id for r in got.collect()) == brute(rows)
+    assert 60 < len(brute(rows)) < len(rows) - 20
+
+
+def test_pairs_at_the_bound(spark):
+    # Sets of 10, 8 and 6 shingles: 8 of 10 is 0.8, 6 of 8 is less.
+    w = [f"w{i}" for i in range(14)]
+    rows = [(0, " ".join(w)), (1, " ".join(w[:12])), (2, " ".join(w[:10]))]
+    got = sorted(r.doc_id for r in jaccard.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == brute(rows) == [0, 2]

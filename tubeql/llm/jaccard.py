@@ -1,0 +1,205 @@
+"""Near-dedup by exact Jaccard similarity of word shingles, without a loss by candidates.
+
+1. Each document is the set of its shingles' 64-bit hashes. Equal sets are one class.
+2. Shingles are ordered by how common the cell is that they are counted in (CELLS counters over the corpus), then by
+   hash. Two sets of similarity T or more share one of the first n - ceil(T * n) + 1 shingles in this order, whatever
+   the order is, so no pair is missed; the counts only keep common passages out of what is shuffled.
+3. Of up to DIRECT classes that share such a shingle, pairs are linked whose sizes and places of the shingle allow T,
+   unless parity bitmaps of the sets (BITS bits, which differ in no more places than the sets do in shingles) show
+   that they are further apart. More than DIRECT classes are chained by size: a spanning forest, never all pairs.
+   Connected components of these links hold every pair of T or more.
+4. The sets of each component are compared exactly; its parts that are linked at T or more are the groups.
+
+Defined results
+* null or empty text, or one of white space only: the empty set, one class of its own.
+* fewer words than a shingle: the whole sequence is the one shingle.
+* rows that repeat and null doc_ids: as in simhash.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import as_bytes, batch, checkpoint, longs, row_key
+from .components import components
+from .simhash import heads_of, kept_rows, shingle_hashes
+
+CELLS = 1 << 18
+BITS = 1024
+DIRECT = 32
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, words))
+
+
+def levels(docs: DataFrame, words: int) -> np.ndarray:
+    """For each cell how far above the mean its count is, as a power of two; CELLS rows a task are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int64)
+        for b in batches:
+            found = [shingle_set(t, words) for t in as_bytes(b.column(0))]
+            if found:
+                total += np.bincount((np.concatenate(found) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
+        at = np.flatnonzero(total)
+        yield batch(["cell", "n"], at.astype(np.int32), total[at])
+
+    rows = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "cell int, n long")
+    sums = rows.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(CELLS)
+    n[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
+    return np.log2(np.maximum(n / max(n.mean(), 1.0), 1.0)).astype(np.uint8)
+
+
+def prefix_length(n: int, least: Fraction) -> int:
+    return n - -(-least.numerator * n // least.denominator) + 1 if n else 0
+
+
+def sketches(docs: DataFrame, level: np.ndarray, words: int, least: Fraction) -> DataFrame:
+    """(doc_id, k1, k2, fp, n, first, parity): the document's key, its set's digest, size, first shingles and bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, words) for t in as_bytes(b.column(3))]
+            firsts, parities = [], []
+            for x in sets:
+                order = np.lexsort((x, level[(x % np.uint64(CELLS)).astype(np.int64)]))
+                firsts.append(x[order[: prefix_length(len(x), least)]].view(np.int64))
+                odd = np.bincount((x >> np.uint64(32)).astype(np.int64) % BITS, minlength=BITS) & 1
+                parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+            prints = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
+            yield batch(["doc_id", "k1", "k2", "fp", "n", "first", "parity"], *b.columns[:3], prints, np.array([len(x) for x in sets], dtype=np.int64), *[pa.array(x, pa.list_(pa.int64())) for x in (firsts, parities)])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, fp long, n long, first array<long>, parity array<long>")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    k1, k2 = row_key()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
+
+
+def links(classes: DataFrame, least: Fraction) -> DataFrame:
+    """(a, b): links whose components hold all pairs of classes at least or more."""
+
+    def meet(key: np.ndarray, n: np.ndarray, rest: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        sizes = np.diff(np.append(starts, len(key)))
+        size = np.repeat(sizes, sizes)
+        tails, heads, loose = [], [], []
+        for d in range(1, min(DIRECT, int(sizes.max()))):
+            near = (key[d:] == key[:-d]) & (n[:-d] * least.denominator >= n[d:] * least.numerator)
+            # The first common shingle has all the others among what comes after it.
+            fits = np.minimum(rest[d:], rest[:-d]) * (least.numerator + least.denominator) >= (n[d:] + n[:-d]) * least.numerator
+            chained = size[d:] > DIRECT
+            at = np.flatnonzero(near & np.where(chained, d == 1, fits))
+            tails.append(fp[at])
+            heads.append(fp[at + d])
+            loose.append(chained[at])
+        none = [np.zeros(0, dtype=np.int64)]
+        return batch(["a", "b", "loose"], *[np.concatenate(x or none) for x in (tails, heads)], np.concatenate(loose or [np.zeros(0, dtype=bool)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []  # the last key's rows so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [longs(c) for c in b.columns]
+            last = int(np.searchsorted(now[0], now[0][-1]))
+            if last or (held and held[0][0][0] != now[0][0]):
+                yield meet(*[np.concatenate(x) for x in zip(*held, [x[:last] for x in now])])
+                held = []
+            held.append([x[last:] for x in now])
+        if held:
+            yield meet(*[np.concatenate(x) for x in zip(*held)])
+
+    each = classes.select(F.posexplode("first").alias("at", "key"), "n", "fp").select("key", "n", (F.col("n") - F.col("at")).alias("rest"), "fp")
+    found = each.repartition("key").sortWithinPartitions("key", "n", "fp").mapInArrow(run, "a long, b long, loose boolean")
+    pairs = found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("loose").alias("loose"))
+    side = lambda x: classes.select(F.col("fp").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"p_{x}"))
+    differ = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    near = differ * (least.numerator + least.denominator) <= (F.col("n_a") + F.col("n_b")) * (least.denominator - least.numerator)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(F.col("loose") | near).select("a", "b")
+
+
+def settle(prints: np.ndarray, sets: list[np.ndarray], least: Fraction) -> list[tuple[int, int]]:
+    """(print, least print of its group): groups are what similarities of least or more connect."""
+    sizes = np.array([len(x) for x in sets], dtype=np.int64)
+    values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.append(0, np.cumsum(sizes))
+    left, out = np.arange(len(sets)), []
+    while len(left):
+        group, front, left = [left[0]], [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            fits = (sizes[left] * least.denominator >= sizes[x] * least.numerator) & (sizes[x] * least.denominator >= sizes[left] * least.numerator)
+            tried = left[fits]
+            if not len(tried):
+                continue
+            marked = np.zeros(len(values), dtype=bool)
+            marked[flat[starts[x] : starts[x + 1]]] = True
+            # Sets here have a shingle at least: the empty one shares none and is in no component.
+            ends = np.cumsum(sizes[tried])
+            index = np.arange(ends[-1]) + np.repeat(starts[tried] - (ends - sizes[tried]), sizes[tried])
+            common = np.add.reduceat(marked[flat[index]].astype(np.int64), ends - sizes[tried])
+            near = common * least.denominator >= least.numerator * (sizes[x] + sizes[tried] - common)
+            group.extend(tried[near])
+            front.extend(tried[near])
+            left = np.setdiff1d(left, tried[near], assume_unique=True)
+        name = int(prints[group].min())
+        out.extend((int(prints[k]), name) for k in group)
+    return out
+
+
+def verified(docs: DataFrame, classes: DataFrame, joined: DataFrame, words: int, least: Fraction) -> DataFrame:
+    """(node, root) for each class of joined; root is the least class of those that exact similarities connect."""
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, words).view(np.int64) for t in as_bytes(b.column(2))]
+            yield batch(["root", "fp", "hashes"], *b.columns[:2], pa.array(sets, pa.list_(pa.int64())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, list, list] | None = None
+
+        def done() -> pa.RecordBatch:
+            found = settle(np.array(held[1], dtype=np.int64), held[2], least)
+            return batch(["node", "root"], *[np.array(x, dtype=np.int64) for x in zip(*found)])
+
+        for b in batches:
+            flat, at = longs(b.column(2).flatten()), np.append(0, np.cumsum(longs(b.column(2).value_lengths())))
+            for k, (root, fp) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                if held is not None and held[0] != root:
+                    yield done()
+                    held = None
+                held = held or (root, [], [])
+                held[1].append(fp)
+                held[2].append(flat[at[k] : at[k + 1]])
+        if held is not None:
+            yield done()
+
+    members = joined.join(classes, F.col("node") == F.col("fp")).select("root", "fp", F.col("head.k1").alias("_k1"), F.col("head.k2").alias("_k2"))
+    texts = _keyed(docs).join(members, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2"))).dropDuplicates(["fp"]).select("root", "fp", "text")
+    sets = texts.mapInArrow(shingles, "root long, fp long, hashes array<long>")
+    return sets.repartition("root").sortWithinPartitions("root", "fp").mapInArrow(run, "node long, root long")
+
+
+def groups(docs: DataFrame, words: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
+    """As simhash.groups; fp is the digest of the document's set of shingles."""
+    found = checkpoint(sketches(docs, levels(docs, words), words, least))
+    head = F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "k1", "k2"))
+    classes = checkpoint(found.groupBy("fp").agg(head.alias("head"), F.first("n").alias("n"), F.first("first").alias("first"), F.first("parity").alias("parity")))
+    joined = components(links(classes, least))
+    return heads_of(found.drop("n", "first", "parity"), classes.select("fp", "head"), checkpoint(verified(docs, classes, joined, words, least)))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, least: Fraction = Fraction(4, 5)) -> DataFrame:
+    """The rows of docs that stay: each group's first document, by doc_id; one row where it is repeated."""
+    return kept_rows(docs, groups(docs, words, least))

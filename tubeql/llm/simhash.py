@@ -270,7 +270,11 @@ def groups(docs: DataFrame, limit: int = 4, words: int = 4) -> DataFrame:
     classes = checkpoint(prints.groupBy("fp").agg(head.alias("head")))
     n, both = bit_statistics(classes)
     plan = make_plan(n, both, limit)
-    joined = components(links(classes, plan, limit))
+    return heads_of(prints, classes, components(links(classes, plan, limit)))
+
+
+def heads_of(prints: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+    """prints with the head of each row's component, from the classes' heads and the components (node, root)."""
     rooted = classes.join(joined, F.col("fp") == F.col("node"), "left").select("fp", "head", F.coalesce("root", "fp").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("head").alias("head"))
     named = rooted.select("fp", "root").join(heads, "root").select(F.col("fp").alias("_fp"), "head")
@@ -286,7 +290,12 @@ def report(docs: DataFrame, limit: int = 4, words: int = 4) -> DataFrame:
 
 def deduplicate(docs: DataFrame, limit: int = 4, words: int = 4) -> DataFrame:
     """The rows of docs that stay: each component's first document, by doc_id; one row where it is repeated."""
-    heads = groups(docs, limit, words).where((F.col("k1") == F.col("head.k1")) & (F.col("k2") == F.col("head.k2")))
+    return kept_rows(docs, groups(docs, limit, words))
+
+
+def kept_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of docs that are the head of their component in found, as groups gives it."""
+    heads = found.where((F.col("k1") == F.col("head.k1")) & (F.col("k2") == F.col("head.k2")))
     heads = checkpoint(heads.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(F.count("*").alias("_rows")))
     k1, k2 = row_key()
     keyed = docs.withColumn("_k1", k1).withColumn("_k2", k2)
