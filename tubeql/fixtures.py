@@ -46,14 +46,19 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("feature"), F.col("label").cast("bigint").alias("label"))
 
 
+def n_vectors(spark: SparkSession, sf_dir: str) -> int:
+    """The number of embeddings; their vec_ids count from 0."""
+    return read(spark, sf_dir, "embeddings").count()
+
+
 def cand_feat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates with their features; vec_id below 500 exist at every size."""
-    return cand(spark, sf_dir).withColumn("vec_id", F.col("cand_id") % 500).join(embeddings(spark, sf_dir).drop("label"), "vec_id").drop("vec_id")
+    """Candidates with their features, dealt over all embeddings. SQL deals them over the first 500: the same at sf0.001 and sf0.01."""
+    return cand(spark, sf_dir).withColumn("vec_id", F.col("cand_id") % n_vectors(spark, sf_dir)).join(embeddings(spark, sf_dir).drop("label"), "vec_id").drop("vec_id")
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(video_id, ref_id, view_id, feature, mask_ratio): reference vectors; a video's three labels are its references."""
-    e = embeddings(spark, sf_dir).where("vec_id < 500")
+    e = embeddings(spark, sf_dir)
     three = e.withColumn("ref_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
     return three.select(F.pmod(F.col("label") - F.col("ref_id"), F.lit(10)).alias("video_id"), "ref_id", F.col("vec_id").alias("view_id"), "feature", ((F.col("label") * 7 + 13) % 100 / 100).alias("mask_ratio"))
 

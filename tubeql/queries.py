@@ -534,7 +534,7 @@ def best_worst_match(spark, sf):
 @query(with_views(_PROTO0 + ", smp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame) AS rn FROM gt) WHERE (rn - 1) % 5 = 0), crop AS (SELECT s.video_id, list_dot_product(e.feature, p.vec) AS sim FROM smp s JOIN emb e ON e.vec_id = (s.frame * 3 + s.video_id) % 500 JOIN proto p ON p.video_id = s.video_id) SELECT video_id, count(*) AS n, round(min(sim), 6) AS min, round(quantile_cont(sim, 0.5), 6) AS p50, round(avg(sim), 6) AS mean, round(max(sim), 6) AS max FROM crop GROUP BY video_id", "gt", "refs"))
 def gt_ceiling(spark, sf):
     """Similarity of ground-truth crops, every fifth frame of a video that has one."""
-    crops = frame_source.sample(fx.gt(spark, sf), 5).withColumn("vec_id", (F.col("frame") * 3 + F.col("video_id")) % 500).join(fx.embeddings(spark, sf).drop("label"), "vec_id")
+    crops = frame_source.sample(fx.gt(spark, sf), 5).withColumn("vec_id", (F.col("frame") * 3 + F.col("video_id")) % fx.n_vectors(spark, sf)).join(fx.embeddings(spark, sf).drop("label"), "vec_id")
     return match.stats(match.score(crops, _proto(spark, sf))).select("video_id", "n", *r6("min", "p50", "mean", "max"))
 
 
