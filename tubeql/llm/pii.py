@@ -38,7 +38,7 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 FORMATS = {
     "email": r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "key_id": r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])",
-    "secret": r"(?:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}\"?[0-9A-Za-z_./+-]{8,}",
+    "secret": r"(?i:password|passwd|token|secret|api_key)\s{0,3}[=:]\s{0,3}\"?[0-9A-Za-z_./+-]{8,}",
     "date": r"(?:\d{4}-\d\d-\d\d|\d{4}/\d\d/\d\d|\d\d\.\d\d\.\d{4}|\d\d/\d\d/\d{4})(?![\d/-]|\.\d)",
     "ip": rf"(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)",
     "phone": r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![\d-])",
