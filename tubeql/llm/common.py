@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,13 +32,70 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> tuple[Column, Column]
     return low, F.xxhash64(F.col(doc_id).isNull(), F.col(text).isNull(), F.col(text))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or one that was set on the context; never a machine-local guess."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as a table to the shared folder and read again, and where it lies: lineage ends there.
+
+    A lost executor costs the tasks that ran on it, nothing before the table. Tables that nobody removes go when the
+    driver's JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/tubeql-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read again: lineage ends, lost executors don't matter."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tubeql-"))
-    return df.checkpoint()
+    return written(df)[0]
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """docs with its columns named c0, c1, ..., and a function that gives a column's new name: no working name clashes."""
+    names = docs.columns
+    return docs.toDF(*[f"c{i}" for i in range(len(names))]), lambda name: f"c{names.index(name)}"
+
+
+#: A key with fewer rows isn't heavy; of the others so many are, at most, the most frequent: any other key has fewer
+#: than HEAVY_ROWS rows, or no more than one in MOST_HEAVY of all. A heavy key is dealt to so many tasks at most.
+HEAVY_ROWS, MOST_HEAVY, MOST_SALTS = 500, 1_000, 1_024
+
+
+def skew_join(fact: DataFrame, dim: DataFrame, key: str, how: str = "inner", rows: int | None = None) -> DataFrame:
+    """fact joined with dim, which has one row a key at most; how: inner or left. A key may hold any share of fact.
+
+    Rows of heavy keys are dealt out by a salt that depends on their partition and content only, and the keys' rows of
+    dim are repeated for each salt. What is broadcast are the heavy keys, MOST_HEAVY at most. rows: those of fact, if
+    known; a few need no salt.
+    """
+    if rows is not None and rows <= 4 * HEAVY_ROWS:
+        return fact.join(dim, key, how)
+    counts = fact.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= HEAVY_ROWS)
+    heavy = counts.orderBy(F.col("_n").desc(), key).limit(MOST_HEAVY).collect()
+    if not heavy and how == "inner":
+        return fact.join(dim, key)
+    kind = dict(fact.dtypes)[key]
+    salts = [min(-(-r[1] // HEAVY_ROWS), MOST_SALTS) for r in heavy]
+    zipped = F.arrays_zip(F.lit([r[0] for r in heavy]).cast(f"array<{kind}>").alias("k"), F.lit(salts).cast("array<int>").alias("n")) if heavy else F.array().cast(f"array<struct<k:{kind},n:int>>")
+    known = F.broadcast(fact.sparkSession.range(1).select(F.inline(zipped).alias("_k", "_salts")))
+    many = lambda df: df.join(known, F.col(key) == F.col("_k"), "left").drop("_k")
+    size = F.when(F.col(key).isNull(), MOST_SALTS).otherwise(F.coalesce("_salts", F.lit(1)))
+    left = many(fact).withColumn("_salt", F.pmod(F.xxhash64(F.spark_partition_id(), *fact.columns), size).cast("int")).drop("_salts")
+    right = many(dim.where(F.col(key).isNotNull())).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
