@@ -63,8 +63,13 @@ def test_scores(spark, sf):
     good = {d for d, q in labels if q == 1} - {d for d, q in labels if q == 0}
     hash_of = {r.text: r.b for r in df.select("text", quality.buckets(df.text, 1024).alias("b")).collect()}
     want = dict(zip([r.doc_id for r in docs], brute_scores([tuple(r) for r in docs], good, 1024, hash_of)))
-    got = quality.score(df, spark.createDataFrame(labels, "doc_id long, quality int"), 1024).collect()
-    assert all(abs(r._score - want[r.doc_id]) < 1e-9 for r in got) and len(got) == len(docs)
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    for most in (quality.MAX_DENSE, 0):  # the weights sent, and joined
+        got = quality.report(df, labels, n_buckets=1024, most=most).collect()
+        assert all(abs(r.score - want[r.doc_id]) < 2e-6 for r in got) and len(got) == len(docs)
+    rows = df.select("doc_id", "text")
+    few, many = (quality.counted(rows, labels, 1024, most).collect() for most in (100, 1))
+    assert sorted(few) == sorted(many)  # the trusted ids sent, and joined
 
 
 def test_labelled_classes_part(spark):
@@ -82,3 +87,37 @@ def test_clashing_columns_and_empty_tables(spark):
     labels = spark.createDataFrame([(1, 1, "x")], "doc_id long, quality int, text string")
     assert [(r.n_words, r.kept) for r in quality.report(docs, labels).collect()] == [(11, True)]
     assert report(spark, []).collect() == []
+
+
+def test_buckets_follow_the_corpus(spark):
+    sizes = lambda n: quality.buckets_for(spark.createDataFrame([(1, "x" * 1024)], SCHEMA).crossJoin(spark.range(n)).select("doc_id", "text"))
+    assert sizes(1) == quality.LEAST_BUCKETS
+    per = quality.LEAST_BUCKETS * quality.CHARS_A_BUCKET // 1024
+    assert [sizes(per), sizes(per + 1), sizes(4 * per), sizes(5 * per)] == [quality.LEAST_BUCKETS * k for k in (1, 2, 4, 8)]
+
+
+def test_catch_rate_holds_when_the_corpus_grows(spark, monkeypatch):
+    """Documents are repeated with new words, so the number of different n-grams grows with them."""
+    from pyspark.sql import functions as F
+
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text"), table(spark, "/root/testdata/sf0.01", "labels").select("doc_id", "quality")
+    monkeypatch.setattr(quality, "LEAST_BUCKETS", 1 << 13)
+    caught, clean = [], []
+    for times in (1, 8):
+        copies = docs.crossJoin(spark.range(times)).select((F.col("doc_id") * 8 + F.col("id")).alias("doc_id"), F.when(F.col("id") == 0, F.col("text")).otherwise(F.regexp_replace("text", "([a-z]{7,})", F.concat(F.lit("$1"), F.col("id").cast("string")))).alias("text"))
+        marks = labels.crossJoin(spark.range(times)).select((F.col("doc_id") * 8 + F.col("id")).alias("doc_id"), "quality")
+        got = quality.report(copies, marks).join(marks, "doc_id").where("NOT base_failed").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
+        shares = {r.quality: r.kept for r in got}
+        caught.append(1 - shares[0])
+        clean.append(shares[1])
+    assert caught[1] >= max(0.9, caught[0] - 0.03) and min(clean) > 0.95
+
+
+def test_keep_passes_any_columns(spark):
+    names = ["b", "w", "judged", "k1", "k2", "id", "t", "_b", "_w", "_kept", "_score", "_base", "c0", "C1", "raw", "target", "part", "a.b", "n", "score"]
+    long_text = " ".join(f"word{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, long_text, *range(len(names))), (None, None, *range(len(names))), (1, long_text, *range(len(names)))], SCHEMA + "".join(f", `{x}` int" for x in names))
+    labels = spark.createDataFrame([(1, 1, "x")], "doc_id long, quality int, text string")
+    out = quality.keep(docs, labels)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    assert [tuple(r) for r in out.collect()] == [(1, long_text, *range(len(names)))] * 2

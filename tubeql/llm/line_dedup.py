@@ -11,7 +11,7 @@ Defined results
 * a key shorter than min_chars code points (so an empty one): the line stays.
 * rows that agree in doc_id and text count as one document and get the same lines; a null doc_id is a value.
 * text that repeats a line inside one document counts once for that key and loses each of them.
-* an empty table gives an empty result; other columns of the input are not looked at.
+* an empty table gives an empty result; other columns of the input are not looked at and may have any names.
 """
 
 from __future__ import annotations
@@ -24,8 +24,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import SPACE, as_bytes, batch, checkpoint, longs, map_rows, row_key
+from .common import SPACE, as_bytes, batch, checkpoint, longs, numbered, row_key
 
 DECIDED, OPEN, EDGE = 0, 1, 2
 LINE = ["h1", "h2", "k1", "k2", "pos"]
@@ -175,17 +176,15 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep:
     return drops.mapInArrow(encode, "k1 long, k2 long, bitmap binary")
 
 
-def deduplicate(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none") -> DataFrame:
-    """All columns of docs with text rewritten, and after them _n_lines, _n_dropped.
-
-    The kept lines are joined by \\n; a text that loses nothing, null too, comes back as it was.
-    """
-    k1, k2 = row_key()
-    maps = keep_bitmaps(docs, min_docs, min_chars, keep).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("bitmap").alias("_bitmap"))
-    keyed = docs.withColumn("_k1", k1).withColumn("_k2", k2)
-    joined = keyed.join(maps.hint("shuffle_hash"), ["_k1", "_k2"], "left").drop("_k1", "_k2")
-    where, found = joined.columns.index("text"), joined.columns.index("_bitmap")
-    names = [f"c{i}" for i in range(len(docs.columns) + 2)]
+def rewritten(rows: DataFrame, text: str, doc_id: str, min_docs: int, min_chars: int, keep: str) -> DataFrame:
+    """rows (columns c0, c1, ...) with the column `text` rewritten, and after them n_lines, n_dropped."""
+    k1, k2 = row_key(text, doc_id)
+    docs = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    maps = keep_bitmaps(docs, min_docs, min_chars, keep)
+    joined = rows.withColumn(text, F.col(text).cast("string")).withColumns({"k1": k1, "k2": k2}).join(maps.hint("shuffle_hash"), ["k1", "k2"], "left").drop("k1", "k2")
+    where, found = rows.columns.index(text), len(rows.columns)
+    fields = [f for f in joined.schema.fields if f.name != "bitmap"] + [T.StructField(x, T.LongType()) for x in ("n_lines", "n_dropped")]
+    names = [f.name for f in fields]
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -201,25 +200,39 @@ def deduplicate(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: s
                 texts.append(b"\n".join([x for x, k in zip(lines, stays) if k]))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - int(stays.sum()))
-            columns = [x for i, x in enumerate(b.columns) if i != found]
+            columns = list(b.columns[:found])
             columns[where] = pa.array(texts, pa.binary()).cast(pa.string())
             yield batch(names, *columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()))
 
-    return map_rows(joined, apply, [("_n_lines", "long"), ("_n_dropped", "long")], ["_bitmap"])
+    return joined.mapInArrow(apply, T.StructType(fields))
+
+
+def deduplicate(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep: str = "none", length: str | None = None) -> DataFrame:
+    """All columns of docs with text rewritten; other columns may have any names.
+
+    The kept lines are joined by \\n; a text that loses nothing, null too, comes back as it was. length: a column that
+    holds the text's code points and follows it where lines go; ignored if docs doesn't have it.
+    """
+    rows, name = numbered(docs)
+    done = rewritten(rows, name("text"), name("doc_id"), min_docs, min_chars, keep)
+    if length in docs.columns:
+        now = F.length(name("text")).cast(docs.schema[length].dataType)
+        done = done.withColumn(name(length), F.when(F.col("n_dropped") > 0, now).otherwise(F.col(name(length))))
+    return done.select(*rows.columns).toDF(*docs.columns)
 
 
 def digest(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """doc_id, n_lines, n_dropped and the SHA-256 of what stays, for each document."""
-    done = deduplicate(docs.select("doc_id", F.col("text").cast("string").alias("text")), min_docs, min_chars)
-    return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    done = rewritten(docs.select(F.col("doc_id").alias("c0"), F.col("text").alias("c1")), "c1", "c0", min_docs, min_chars, "none")
+    return done.select(F.col("c0").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.coalesce("c1", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 #: digest() in SQL for 10 documents and keys of 1 code point or more.
 ORACLE = """
-WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
-l AS (SELECT n, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, text IS NULL AS missing, coalesce(text, '') AS text FROM documents),
+l AS (SELECT n, doc_id, missing, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
 k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
-often AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT n) >= 10),
+often AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT row(doc_id, missing, text)) >= 10),
 m AS (SELECT k.*, often.key IS NOT NULL AS gone FROM k LEFT JOIN often ON k.key = often.key)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM m GROUP BY n, doc_id

@@ -1,11 +1,13 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio of trusted target to raw corpus.
 
-Words and word pairs are hashed into N_BUCKETS buckets. Two smoothed multinomials over the buckets are counted:
-the raw corpus over every document, the trusted target over documents labelled good (at most TRUSTED of them,
-those with the smallest hashes of doc_id; the bound of the one broadcast). A document's score is the mean over
-its n-grams of log(target / raw), so length doesn't count; it is kept at THRESHOLD or more. Everything is
-DataFrame expressions: a document's n-grams are arrays inside its row, only the bucket counts are shuffled
-(N_BUCKETS rows a task), and the N_BUCKETS weights return as one scalar subquery.
+Words and word pairs are hashed into buckets, as many as the corpus is long: a power of two with CHARS_A_BUCKET
+characters a bucket or fewer, LEAST_BUCKETS at least, so that a bucket holds about as many different n-grams at every
+size. Two smoothed multinomials over the buckets are counted: the raw corpus over every document, the trusted target
+over every document labelled good. A document's score is the mean over its n-grams of log(target / raw), so length
+doesn't count; it is kept at THRESHOLD or more. Everything is DataFrame expressions: a document's n-grams are arrays
+inside its row, only the bucket counts are shuffled (combined before). Up to MAX_DENSE buckets the weights return as
+one scalar subquery; beyond, each document's buckets meet them in a salted join. The ids of trusted documents are
+broadcast up to MAX_TRUSTED, and joined by shuffle beyond.
 
 Defined results
 * null text: no words, no lines. No words: base_failed, not kept.
@@ -13,7 +15,7 @@ Defined results
 * rows that repeat, and null doc_ids, are judged as any row; a doc_id with several labels is trusted if one of
   them is good and none is bad; labels of unknown documents don't count.
 * without any trusted document, or in an empty corpus, the score is 0 for every document.
-* other columns of the inputs are not looked at.
+* other columns of the inputs are not looked at, may have any names, and come through keep() as they are.
 """
 
 from __future__ import annotations
@@ -23,10 +25,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS
+from .common import SPACE_CLASS, checkpoint, numbered, row_key, skew_join
 
-N_BUCKETS = 1 << 18
-TRUSTED = 50_000
+LEAST_BUCKETS, CHARS_A_BUCKET = 1 << 20, 256
+#: Buckets whose weights are sent to all tasks at most (4 bytes each), and how many lie in one array.
+MAX_DENSE, CHUNK = 1 << 23, 1 << 16
+#: Ids of trusted documents that are sent to all tasks at most.
+MAX_TRUSTED = 1_000_000
 #: Pseudo-count of a bucket in the raw corpus; it draws buckets that are seldom seen to a ratio of 1.
 SMOOTH = 16.0
 #: On the synthetic tables no document labelled good lies below it, at 1,000 documents or at 51,000, and 95 % of
@@ -51,10 +56,15 @@ def word_hashes(ws: Column) -> Column:
     return F.transform(ws, lambda w: F.xxhash64(w))
 
 
-def grams(hashes: Column, n: int) -> Column:
-    """Hashes of all runs of n words."""
-    run = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - n), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(n)]))
-    return F.when(F.size(hashes) >= n, run(hashes)).otherwise(F.array().cast("array<bigint>"))
+def beside(a: Column, b: Column, by: int) -> Column:
+    """Hashes of each entry of a together with the entry of b that lies `by` places on."""
+    n = F.greatest(F.least(F.size(a), F.size(b) - by), F.lit(0))
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(by + 1), n), lambda x, y: F.xxhash64(x, y))
+
+
+def windows(hashes: Column, pairs: Column) -> Column:
+    """Hashes of all runs of WINDOW (five) words: two pairs and a word."""
+    return beside(beside(pairs, pairs, 2), hashes, 4)
 
 
 def covered(windows: Column, width: int = WINDOW) -> Column:
@@ -71,17 +81,19 @@ def covered(windows: Column, width: int = WINDOW) -> Column:
     return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(positions(h), total)))
 
 
-def base_struct(text: Column) -> Column:
-    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed) of a text, each computed once."""
+def judged(text: Column, mean: Callable[[Column], Column]) -> Column:
+    """struct(n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, score) of a text, each computed once.
+
+    mean gives the score of an array of hashes of words and word pairs.
+    """
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
-    def counts(ws: Column) -> Column:
-        return F.struct(
-            F.size(ws).cast("long").alias("n"),
-            F.length(F.array_join(ws, "")).cast("long").alias("chars"),
-            let(word_hashes(ws), lambda h: covered(grams(h, WINDOW))).cast("long").alias("r"),
-        )
+    def of_hashes(h: Column) -> Column:
+        return let(beside(h, h, 1), lambda p: F.struct(let(windows(h, p), lambda w: covered(w)).cast("long").alias("r"), let(F.concat(h, p), mean).alias("score")))
+
+    def of_words(ws: Column) -> Column:
+        return F.struct(F.size(ws).cast("long").alias("n"), F.length(F.array_join(ws, "")).cast("long").alias("chars"), let(word_hashes(ws), of_hashes).alias("h"))
 
     def whole(x: Column) -> Column:
         return F.struct(
@@ -89,52 +101,105 @@ def base_struct(text: Column) -> Column:
             x["chars"].alias("word_chars"),
             F.length(F.regexp_replace(text, NOT_SYMBOLS, "")).cast("long").alias("n_symbols"),
             let(lines, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("long").alias("n_dup_lines"),
-            x["r"].alias("n_repeat_words"),
-            ((x["n"] < 10) | (100 * x["r"] > 20 * x["n"])).alias("failed"),
+            x["h"]["r"].alias("n_repeat_words"),
+            ((x["n"] < 10) | (100 * x["h"]["r"] > 20 * x["n"])).alias("failed"),
+            x["h"]["score"].alias("score"),
         )
 
-    return let(let(words(text), counts), whole)
+    return let(let(words(text), of_words), whole)
+
+
+def bucket(h: Column, n_buckets: int) -> Column:
+    return F.pmod(h, F.lit(n_buckets)).cast("int")
 
 
-def buckets(text: Column, n_buckets: int = N_BUCKETS) -> Column:
+def buckets(text: Column, n_buckets: int) -> Column:
     """The buckets of a text's words and word pairs."""
-    both = let(word_hashes(words(text)), lambda h: F.concat(h, grams(h, 2)))
-    return F.transform(both, lambda x: F.pmod(x, F.lit(n_buckets)).cast("int"))
+    both = let(word_hashes(words(text)), lambda h: F.concat(h, beside(h, h, 1)))
+    return F.transform(both, lambda x: bucket(x, n_buckets))
+
+
+def buckets_for(docs: DataFrame) -> int:
+    """How many buckets this corpus gets; one pass over the lengths of all texts."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(LEAST_BUCKETS, 1 << max(0, -(-int(chars) // CHARS_A_BUCKET) - 1).bit_length())
 
 
-def trusted(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """At most limit doc_ids with good labels only."""
-    by_id = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q"))
-    return by_id.where(F.col("q") == 1).select(F.col("doc_id").cast("long").alias("_trusted")).orderBy(F.xxhash64("_trusted"), "_trusted").limit(limit)
+def trusted(labels: DataFrame) -> DataFrame:
+    """(id): doc_ids with good labels only."""
+    by_id = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.min("quality").alias("q"))
+    return by_id.where(F.col("q") == 1).select("id")
 
 
-def weights(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS, limit: int = TRUSTED) -> DataFrame:
-    """One row with one array: log(target / raw) by bucket."""
-    found = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(trusted(labels, limit)), F.col("_id") == F.col("_trusted"), "left")
-    each = found.select(F.col("_trusted").isNotNull().cast("long").alias("t"), F.explode(buckets(F.col("_text"), n_buckets)).alias("b"))
-    counts = each.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
-    every = docs.sparkSession.range(n_buckets).join(counts, F.col("id") == F.col("b"), "left").select("id", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("target", F.lit(0)).alias("target"))
-    dense = every.agg(F.sort_array(F.collect_list(F.struct("id", "raw", "target"))).alias("rows"), F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+def counted(docs: DataFrame, labels: DataFrame, n_buckets: int, most: int = MAX_TRUSTED) -> DataFrame:
+    """(b, raw, target): how often each bucket occurs in all documents, and in the trusted ones. docs: doc_id, text."""
+    good = checkpoint(trusted(labels)).withColumn("t", F.lit(1).cast("long"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    found = rows.join(F.broadcast(good), "id", "left") if good.count() <= most else skew_join(rows, good, "id", "left")
+    each = found.select("t", F.explode(buckets(F.col("text"), n_buckets)).alias("b"))
+    return checkpoint(each.groupBy("b").agg(F.count("*").alias("raw"), F.coalesce(F.sum("t"), F.lit(0)).alias("target")))
+
+
+def weights(counts: DataFrame) -> DataFrame | None:
+    """(b, w): log(target / raw) by bucket; None without any target."""
+    raw, target = counts.agg(F.sum("raw"), F.sum("target")).first()
+    if not target:
+        return None
     # Both multinomials get pseudo-counts in proportion to their totals, so the totals cancel out.
-    part = F.col("target") / F.col("raw")
-    ratio = lambda x: F.log((x["target"] / part + F.lit(SMOOTH)) / (x["raw"] + F.lit(SMOOTH)))
-    return dense.select(F.when(F.col("target") > 0, F.transform("rows", ratio)).otherwise(F.array().cast("array<double>")).alias("w"))
+    ratio = F.log((F.col("target") / (target / raw) + F.lit(SMOOTH)) / (F.col("raw") + F.lit(SMOOTH)))
+    return counts.select("b", ratio.cast("float").alias("w"))
+
+
+def dense(found: DataFrame, n_buckets: int) -> DataFrame:
+    """One row with the weights as an array of arrays of CHUNK; buckets that do not occur weigh 0."""
+    every = found.sparkSession.range(n_buckets).join(found, F.col("id") == F.col("b"), "left").select(F.col("id"), F.coalesce("w", F.lit(0.0).cast("float")).alias("w"))
+    parts = every.groupBy(F.floor(F.col("id") / CHUNK).alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", "w")))["w"].alias("w"))
+    return parts.agg(F.sort_array(F.collect_list(F.struct("part", "w")))["w"].alias("w"))
+
+
+def rows_judged(rows: DataFrame, labels: DataFrame, text: str, doc_id: str, n_buckets: int | None = None, most: int = MAX_DENSE) -> DataFrame:
+    """rows with a column `judged` (as judged gives it). rows: columns c0, c1, ...; text and doc_id: two of them."""
+    docs = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    n_buckets = buckets_for(docs) if n_buckets is None else n_buckets
+    found = weights(counted(docs, labels, n_buckets))
+    whole = F.col(text).cast("string")
+    if found is None:
+        return rows.withColumn("judged", judged(whole, lambda h: F.lit(0.0)))
+    if n_buckets <= most:
+
+        def mean(h: Column) -> Column:
+            weight = lambda b: F.coalesce(F.get(F.get(F.col("w"), F.shiftright(b, 16)), b.bitwiseAND(CHUNK - 1)), F.lit(0.0))
+            return F.aggregate(h, F.lit(0.0), lambda t, x: t + let(bucket(x, n_buckets), weight)) / F.greatest(F.size(h), F.lit(1))
+
+        return rows.withColumn("w", dense(found, n_buckets).scalar()).withColumn("judged", judged(whole, mean)).drop("w")
+    return by_join(rows, found, docs, n_buckets, whole, row_key(text, doc_id))
+
+
+def by_join(rows: DataFrame, found: DataFrame, docs: DataFrame, n_buckets: int, whole: Column, key: tuple[Column, Column]) -> DataFrame:
+    """rows_judged where the weights are too many to send: (document, bucket, n) rows meet them, heavy buckets salted."""
+    k1, k2 = row_key()
+    each = docs.select(k1.alias("k1"), k2.alias("k2"), "text").dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode(buckets(F.col("text"), n_buckets)).alias("b"))
+    met = skew_join(each.groupBy("k1", "k2", "b").agg(F.count("*").alias("n")), found, "b")
+    scores = checkpoint(met.groupBy("k1", "k2").agg((F.sum(F.col("w").cast("double") * F.col("n")) / F.sum("n")).alias("score")))
+    own = rows.withColumns({"k1": key[0], "k2": key[1]}).join(scores, ["k1", "k2"], "left")
+    full = own.withColumn("judged", judged(whole, lambda h: F.lit(0.0)))
+    return full.withColumn("judged", F.col("judged").withField("score", F.coalesce("score", F.lit(0.0)))).select(*rows.columns, "judged")
 
 
-def score(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS, limit: int = TRUSTED) -> DataFrame:
-    """docs with a column _score: the mean log-likelihood ratio of a text's n-grams, 0 where it has none."""
-    gram_weights = docs.withColumn("_w", weights(docs, labels, n_buckets, limit).scalar()).withColumn("_b", buckets(F.col("text"), n_buckets))
-    mean = lambda b: F.aggregate(b, F.lit(0.0), lambda a, x: a + F.coalesce(F.get(F.col("_w"), x), F.lit(0.0))) / F.greatest(F.size(b), F.lit(1))
-    return gram_weights.withColumn("_score", let(F.col("_b"), mean)).drop("_w", "_b")
+def kept(threshold: float) -> Column:
+    return ~F.col("judged.failed") & (F.col("judged.score") >= threshold)
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_buckets: int = N_BUCKETS, limit: int = TRUSTED) -> DataFrame:
-    """All columns of docs, then _score, _base (struct of the base counts and failed) and _kept."""
-    scored = score(docs, labels, n_buckets, limit).withColumn("_base", base_struct(F.col("text")))
-    return scored.withColumn("_kept", ~F.col("_base.failed") & (F.col("_score") >= threshold))
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_buckets: int | None = None) -> DataFrame:
+    """The rows of docs that the rules keep, all columns as they are."""
+    rows, name = numbered(docs)
+    done = rows_judged(rows, labels.select("doc_id", "quality"), name("text"), name("doc_id"), n_buckets)
+    return done.where(kept(threshold)).select(*rows.columns).toDF(*docs.columns)
 
 
-def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_buckets: int | None = None, most: int = MAX_DENSE) -> DataFrame:
     """One row per document: the base counts, base_failed, kept, score."""
-    done = judge(docs.select("doc_id", F.col("text").cast("string").alias("text")), labels.select("doc_id", "quality"), threshold)
-    return done.select("doc_id", *[F.col(f"_base.{c}") for c in COUNTS], F.col("_base.failed").alias("base_failed"), F.col("_kept").alias("kept"), F.round("_score", 6).alias("score"))
+    rows = docs.select(F.col("doc_id").alias("c0"), F.col("text").alias("c1"))
+    done = rows_judged(rows, labels.select("doc_id", "quality"), "c1", "c0", n_buckets, most)
+    out = [F.col(f"judged.{c}") for c in COUNTS]
+    return done.select(F.col("c0").alias("doc_id"), *out, F.col("judged.failed").alias("base_failed"), kept(threshold).alias("kept"), F.round("judged.score", 6).alias("score"))
