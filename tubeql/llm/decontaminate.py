@@ -7,8 +7,9 @@ is contained misses at most floor((1 - share) * size) shingles, so at least one
 the search loses nothing, however long the document is, and a document that has too few words for an item's
 share isn't a candidate for it. Candidates are verified on the shingles themselves.
 
-Documents are scanned where they lie, without a shuffle; items are broadcast in blocks of MAX_SHINGLES shingles,
-one scan of the documents a block, so what is broadcast has a fixed bound.
+Documents are scanned where they lie, without a shuffle; items are broadcast in blocks of MAX_SHINGLES shingles. If
+there are several, each block's finds are written before the next block is made, and its broadcast is freed: tasks and
+driver hold one block at a time, whatever the benchmark's size; the documents are scanned once a block.
 
 Defined results
 * words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased; shingles are `words` words.
@@ -16,20 +17,23 @@ Defined results
 * an item or document without words (null too) is contained in nothing and contains nothing.
 * repeated items (the same item_id and text) are one; the same text under two item_ids is two; rows of documents
   that repeat each give their pairs; null ids come back as null.
-* very long texts are searched whole; empty tables give empty results; other columns are not looked at.
+* very long texts are searched whole; empty tables give empty results; other columns are not looked at and may have
+  any names; rows of documents that repeat stay or go together.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, map_rows
+from .common import batch, checkpoint, numbered, row_key, sized
 from .wordvec import blocks, gram_hashes, runs_inside, word_hashes, word_places
 
 #: Shingles of the items that one scan looks for: at most this many and one item more are broadcast at once.
@@ -113,52 +117,65 @@ class Index:
                         yield at + text, int(k), shared
 
 
-def item_blocks(benchmark: DataFrame, words: int, share: float, most: int = MAX_SHINGLES) -> list[Index]:
-    """Indexes of items; each has about `most` shingles, by the number of words."""
+def item_blocks(benchmark: DataFrame, words: int, share: float, most: int = MAX_SHINGLES) -> tuple[int, Callable[[int], Index]]:
+    """How many blocks of about `most` shingles, by the number of words, and what makes the index of block k."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.length(F.trim("text")) > 0).distinct()
     total = items.agg(F.sum(F.size(F.split("text", r"[\x20\x09-\x0D]+")))).first()[0] or 0
     n = max(1, -(-int(total) // most))
     slot = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    for k in range(n):
+
+    def made(k: int) -> Index:
         rows = sorted(((i, t.encode()) for i, t in items.where(slot == k).collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        yield Index(rows, words, share)
+        return Index(rows, words, share)
 
+    return n, made
 
-def contained(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: float = 0.8, most: int = MAX_SHINGLES) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item): one row for each document and item that it contains."""
-    names = ["doc_id", "item_id", "n_shared", "n_item"]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = None
-    for index in item_blocks(benchmark, words, share, most):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+FOUND = "doc_id long, k1 long, k2 long, item_id long, n_shared long, n_item long"
+
+
+def finds(docs: DataFrame, benchmark: DataFrame, words: int, share: float, most: int) -> DataFrame:
+    """FOUND: one row for each row of docs (doc_id, text) and item that it contains."""
+    k1, k2 = row_key()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
+    names = [x.split()[0] for x in FOUND.split(", ")]
+    context = docs.sparkSession.sparkContext
+
+    def searched(index: Index) -> tuple[DataFrame, Broadcast]:
+        sent = context.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = sent.value
             for b in batches:
-                hits = list(own.search(b.column(1)))
+                hits = list(own.search(b.column(3)))
                 at = pa.array([r for r, _, _ in hits], pa.int64())
-                yield batch(names, b.column(0).take(at), pa.array([own.ids[k] for _, k, _ in hits], pa.int64()), pa.array([s for _, _, s in hits], pa.int64()), pa.array([len(own.sets[k]) for _, k, _ in hits], pa.int64()))
+                more = [own.ids[k] for _, k, _ in hits], [s for _, _, s in hits], [len(own.sets[k]) for _, k, _ in hits]
+                yield batch(names, *[c.take(at) for c in b.columns[:3]], *[pa.array(x, pa.int64()) for x in more])
+
+        return rows.mapInArrow(run, FOUND), sent
 
-        part = rows.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long")
-        found = part if found is None else found.unionByName(part)
-    return found
+    n, made = item_blocks(benchmark, words, share, most)
+    if n == 1:
+        return searched(made(0))[0]
+    parts = []
+    for k in range(n):
+        found, sent = searched(made(k))
+        parts.append(checkpoint(found))
+        sent.destroy()
+    return reduce(DataFrame.unionByName, parts)
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: float = 0.8, most: int = MAX_SHINGLES) -> DataFrame:
-    """The rows of docs that contain no item, all columns as they are."""
-    where = docs.columns.index("text")
-    for index in item_blocks(benchmark, words, share, most):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+def contained(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: float = 0.8, most: int = MAX_SHINGLES) -> DataFrame:
+    """(doc_id, item_id, n_shared, n_item): one row for each document and item that it contains."""
+    return finds(docs, benchmark, words, share, most).select("doc_id", "item_id", "n_shared", "n_item")
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            own = sent.value
-            for b in batches:
-                stays = np.ones(b.num_rows, dtype=bool)
-                stays[[r for r, _, _ in own.search(b.column(where))]] = False
-                yield b.filter(pa.array(stays))
 
-        docs = map_rows(docs, run)
-    return docs
+def clean(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: float = 0.8, most: int = MAX_SHINGLES) -> DataFrame:
+    """The rows of docs that contain no item, all columns as they are."""
+    rows, name = numbered(docs)
+    found = checkpoint(finds(rows.select(F.col(name("doc_id")).alias("doc_id"), F.col(name("text")).alias("text")), benchmark, words, share, most).select("k1", "k2").distinct())
+    k1, k2 = row_key(name("text"), name("doc_id"))
+    return rows.withColumns({"k1": k1, "k2": k2}).join(sized(found), ["k1", "k2"], "left_anti").select(*rows.columns).toDF(*docs.columns)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, words: int = 5, share: float = 0.8) -> DataFrame:

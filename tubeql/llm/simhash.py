@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, checkpoint, longs, numbered, row_key, skew_join
+from .common import as_bytes, batch, checkpoint, longs, numbered, row_key, sized, skew_join
 from .components import components
 from .wordvec import blocks, gram_hashes, mix, runs_inside, word_hashes, word_places
 
@@ -61,8 +61,6 @@ WAVE = 64
 PARTS = range(2, 9)
 #: Large keys up to this number are sent to all tasks.
 MAX_BROADCAST = 10_000
-#: Keys of rows (two longs) up to this number are sent to all tasks; more are shuffled.
-MAX_KEYS = 500_000
 #: Steps of the dynamic programme in which the chance of a miss is counted, as parts of its logarithm.
 GRAIN = 100
 
@@ -546,11 +544,6 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int,
     return both.where(common * (share.numerator + share.denominator) >= total * share.numerator).select("a", "b")
 
 
-def sized(keys: DataFrame) -> DataFrame:
-    """keys, marked for broadcast if they are few."""
-    return F.broadcast(keys) if keys.count() <= MAX_KEYS else keys
-
-
 def classes_of(prints: DataFrame) -> DataFrame:
     """(id, fp, head): one row a fingerprint."""
     head = F.min(F.struct(F.col("doc_id").isNull().alias("lone"), "k1", "k2"))
