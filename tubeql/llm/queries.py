@@ -49,7 +49,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii.DEMO_KEY)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
