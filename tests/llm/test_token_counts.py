@@ -57,7 +57,7 @@ def test_documents_table(spark, sf):
     got = {r.doc_id: r for r in tc.count(docs, PATH, P.PATTERN).collect()}
     for r in docs.collect():
         text = r.text
-        for e in tc.standing_edits(r.text):
+        for e in tc.standing_edits(len(r.text)):
             text = replaced(text, *e)
         assert (got[r.doc_id].n_tokens, got[r.doc_id].n_tokens_after) == (full(r.text), full(text))
 
@@ -68,3 +68,30 @@ def test_edits_table_and_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_tokens, r.n_tokens_after) for r in tc.count(docs, PATH, P.PATTERN, edits).collect()), key=str)
     assert got == sorted([(1, full("one two three"), full("and two three")), (2, 0, full("new")), (None, full("free"), full("free")), (1, full("again"), full(replaced("againand "[0:4] + "and n", 0, 4, "")))], key=str)
     assert tc.count(spark.createDataFrame([], SCHEMA), PATH, P.PATTERN).collect() == []
+
+
+def test_a_stored_table_is_edited_without_its_other_texts(spark, sf, tmp_path):
+    """Trees are built once and written; two rounds of edits to the table equal full counts, and little is encoded."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    tc.build(docs, PATH, P.PATTERN).write.parquet(str(tmp_path / "0"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rng = random.Random(3)
+    bits = ["the ", "a", "\n\n", "   ", " x", "'s", "'", "é", "12", "!!", " word", "🙂"]
+    for step in range(2):
+        rows = []
+        for d in rng.sample(sorted(texts), 60):
+            for seq in range(3):
+                start, removed, insert = rng.randint(0, len(texts[d]) + 5), rng.choice([0, 3, 30]), "".join(rng.choice(bits) for _ in range(rng.choice([0, 2, 9])))
+                rows.append((d, seq, start, removed, insert))
+                texts[d] = replaced(texts[d], start, removed, insert)
+        edits = spark.createDataFrame(rows, "doc_id long, seq int, start int, removed int, insert string")
+        done = tc.apply(spark.read.parquet(str(tmp_path / str(step))), PATH, P.PATTERN, edits)
+        done.write.parquet(str(tmp_path / str(step + 1)))
+        after = spark.read.parquet(str(tmp_path / str(step + 1)))
+        assert {r.doc_id: "".join(r.leaves) for r in after.collect()} == texts
+        assert {r.doc_id: (r.n_tokens, r.n_pieces) for r in tc.counts(after).collect()} == {d: (full(t), len(OWN.pattern.findall(t))) for d, t in texts.items()}
+        touched = {d for d, *_ in rows}
+        encoded = {r.doc_id: r.n_encoded for r in after.collect()}
+        assert all(n == 0 for d, n in encoded.items() if d not in touched)
+        assert all(n <= 3 * 6 * tc.LEAF for n in encoded.values())
+        assert sum(encoded.values()) <= len(rows) * 2 * tc.LEAF
