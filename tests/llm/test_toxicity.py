@@ -71,3 +71,79 @@ def test_given_grades_and_odd_rows(spark):
     none = toxicity.report(docs, labels.where("toxic = 0")).collect()
     assert all(r.severity == 0 and not r.toxic for r in none)
     assert toxicity.report(docs.limit(0), labels).collect() == []
+
+
+def brute_model(rows, labels):
+    """Selection of features, grades and fit from their definitions: dictionaries of strings and a dense matrix."""
+    grade = {}
+    for d, t in labels:
+        if d is not None and t is not None:
+            grade[d] = max(grade.get(d, 0), t)
+    fit = [(t or "", grade[d]) for d, t in rows if d in grade]
+
+    def counts(text):
+        out = {}
+        for w in text.encode().translate(bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))).split():
+            for f in {("whole", w), *((k, w[:k]) for k in toxicity.PREFIXES if len(w) >= k)}:
+                out[f] = out.get(f, 0) + 1
+        return out
+
+    each, toxic = [counts(t) for t, _ in fit], np.array([g > 0 for _, g in fit])
+    n1, n0 = toxic.sum(), (~toxic).sum()
+    known = []
+    for f in sorted({f for c in each for f in c}, key=str):
+        has = np.array([f in c for c in each])
+        t, c = (has & toxic).sum(), (has & ~toxic).sum()
+        ratio = ((t + 0.5) / (n1 + 1)) / ((c + 0.5) / (n0 + 1))
+        log = lambda k, share: k * np.log(k / ((t + c) * share)) if k else 0.0
+        z = np.sqrt(2 * max(log(t, n1 / (n1 + n0)) + log(c, n0 / (n1 + n0)), 0))
+        if max(ratio, 1 / ratio) >= toxicity.RATIO and z >= toxicity.Z:
+            known.append(f)
+    n = np.array([[c.get(f, 0) for f in known] for c in each], dtype=float)
+    much = n.sum(1)
+    low, high = np.quantile(much[toxic], [1 / 3, 2 / 3])
+    y = np.where(toxic, 1 + (much > low) + (much > high), 0)
+    x, top = np.log1p(n), 3
+
+    def loss_slope(w, free):
+        cuts = np.array([free[0], free[0] + np.exp(free[1]), free[0] + np.exp(free[1]) + np.exp(free[2])])
+        edge = np.concatenate([[-np.inf], cuts, [np.inf]])
+        m = x @ w
+        over = lambda c: 1 / (1 + np.exp(np.clip(c - m, -700, 700)))
+        up, down = over(edge[y]), over(edge[y + 1])  # P(grade >= y), P(grade >= y + 1)
+        p = np.maximum(up - down, 1e-12)
+        d_m = -(up * (1 - up) - down * (1 - down)) / p / len(y)
+        d_c = np.zeros(top)
+        for k in range(1, top + 1):
+            d_c[k - 1] = ((up * (1 - up) / p)[y == k].sum() - (down * (1 - down) / p)[y + 1 == k].sum()) / len(y)
+        d_free = np.array([d_c.sum(), (d_c[1] + d_c[2]) * np.exp(free[1]), d_c[2] * np.exp(free[2])])
+        return np.concatenate([x.T @ d_m + toxicity.RIDGE * w / len(w), d_free]), cuts
+
+    at, a, b = np.concatenate([np.zeros(len(known)), [1.0, 0.0, 0.0]]), 0.0, 0.0
+    for step in range(1, toxicity.STEPS + 1):
+        g, _ = loss_slope(at[: len(known)], at[len(known) :])
+        a, b = 0.9 * a + 0.1 * g, 0.999 * b + 0.001 * g * g
+        at = at - toxicity.RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-12)
+    _, cuts = loss_slope(at[: len(known)], at[len(known) :])
+    weight = dict(zip(known, at))
+    severity = lambda t: sum(1 / (1 + np.exp(np.clip(c - sum(weight[f] * np.log1p(k) for f, k in counts(t or "").items() if f in weight), -700, 700))) for c in cuts)
+    return known, [(d, severity(t)) for d, t in rows]
+
+
+def test_query_against_brute_force(spark):
+    """Selection, grades, fit and scores of every document of a small table."""
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").limit(700)
+    labels = table(spark, "/root/testdata/sf0.01", "labels").select("doc_id", "toxic")
+    rows, marks = [tuple(r) for r in docs.collect()], [tuple(r) for r in labels.collect()]
+    small = spark.createDataFrame(rows, "doc_id long, text string")
+    known, want = brute_model(rows, marks)
+    assert len(known) > 10 and len(toxicity.fit(small, labels).features) == len(known)
+    got = {r.doc_id: r for r in toxicity.report(small, labels).collect()}
+    assert all(abs(got[d].severity - s) < 1e-3 for d, s in want)
+
+
+def test_rows_of_the_fit_are_bounded(spark):
+    """Rows that share a doc_id are one document of the fit."""
+    docs = spark.range(5000).selectExpr("1L AS doc_id", "concat('t', id) AS text")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert [tuple(r) for r in toxicity.labelled(docs, labels, 1).collect()] == [(1, "t0")]

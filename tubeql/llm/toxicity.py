@@ -5,15 +5,17 @@ x holds log(1 + n) of the n words of a text with a feature: a word whole, or its
 expected severity is the sum of P(grade >= k) over the grades; it is toxic where P(grade >= 1) is 0.5 or more.
 
 The fit takes at most FIT_ROWS labelled documents, those with the smallest hashes of doc_id. Features are those
-that toxic documents of the fit have clearly more or less often than others (at most MAX_FEATURES). Labels of more
-than two grades are taken as they are; 0/1 labels are graded first: toxic documents get 1, 2 or 3 by the third they
-fall in by words with enriched features. Every document of the table is scored, whole, by the same model; nothing
+that toxic documents of the fit have clearly more or less often than others (at most MAX_FEATURES, a parameter of the
+model: the strongest). Labels of more than two grades are taken as they are. 0/1 labels hold no severity, so one is
+made: toxic documents get 1, 2 or 3 by the third they fall in by words with enriched features. Severity is then how
+much of what tells toxic documents apart a text has, not how bad people find it. Every document of the table is scored, whole, by the same model; nothing
 is shuffled for that.
 
 Defined results
 * null or empty text has no features and the severity of the cut points alone.
 * A-Z are lower-cased; words are [^\\x20\\x09-\\x0D]+.
-* labels: null ones don't count, of several for a doc_id the highest does, unknown doc_ids are ignored. Without a
+* labels: null ones don't count, of several for a doc_id the highest does, unknown doc_ids are ignored; of rows that
+  share a labelled doc_id the fit takes the least text. Without a
   toxic and a clean document in the fit, severity is 0 for all.
 * rows that repeat, and null doc_ids, are scored as any row; an empty table gives an empty result; other columns
   are not looked at.
@@ -127,10 +129,11 @@ def fit_ordinal(row: np.ndarray, column: np.ndarray, value: np.ndarray, grade: n
 
 
 def labelled(docs: DataFrame, labels: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
-    """(grade, text) of at most limit labelled documents; their ids are the one broadcast."""
+    """(grade, text) of at most limit labelled documents, one row an id; their ids are the one broadcast."""
     ids = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.greatest(F.max("toxic"), F.lit(0)).cast("int").alias("grade"))
     few = ids.orderBy(F.xxhash64("_id"), "_id").limit(limit)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), F.col("doc_id") == F.col("_id")).select("grade", "text")
+    found = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(few), "_id")
+    return found.groupBy("_id").agg(F.first("grade").alias("grade"), F.min("text").alias("text")).select("grade", "text")
 
 
 def select_features(rows: DataFrame) -> np.ndarray:
