@@ -62,12 +62,13 @@ def beside(a: Column, b: Column, by: int) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(by + 1), n), lambda x, y: F.xxhash64(x, y))
 
 
-def windows(hashes: Column, pairs: Column) -> Column:
-    """Hashes of all runs of WINDOW (five) words: two pairs and a word."""
-    return beside(beside(pairs, pairs, 2), hashes, 4)
+def windows(hashes: Column) -> Column:
+    """Hashes of all runs of WINDOW words."""
+    run = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+    return F.when(F.size(hashes) >= WINDOW, run(hashes)).otherwise(F.array().cast("array<bigint>"))
 
 
-def covered(windows: Column, width: int = WINDOW) -> Column:
+def covered(hashes: Column, width: int = WINDOW) -> Column:
     """How many words lie in windows whose hash comes twice or more."""
 
     def positions(h: Column) -> Column:
@@ -78,7 +79,7 @@ def covered(windows: Column, width: int = WINDOW) -> Column:
 
     step = lambda p, x, k: F.least(F.lit(width), F.coalesce(F.get(p, k + 1) - x, F.lit(width)))
     total = lambda p: F.aggregate(F.transform(p, lambda x, k: step(p, x, k)), F.lit(0), lambda a, x: a + x)
-    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(positions(h), total)))
+    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(positions(h), total)))
 
 
 def judged(text: Column, mean: Callable[[Column], Column]) -> Column:
@@ -90,7 +91,7 @@ def judged(text: Column, mean: Callable[[Column], Column]) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def of_hashes(h: Column) -> Column:
-        return let(beside(h, h, 1), lambda p: F.struct(let(windows(h, p), lambda w: covered(w)).cast("long").alias("r"), let(F.concat(h, p), mean).alias("score")))
+        return let(beside(h, h, 1), lambda p: F.struct(covered(windows(h)).cast("long").alias("r"), let(F.concat(h, p), mean).alias("score")))
 
     def of_words(ws: Column) -> Column:
         return F.struct(F.size(ws).cast("long").alias("n"), F.length(F.array_join(ws, "")).cast("long").alias("chars"), let(word_hashes(ws), of_hashes).alias("h"))
@@ -168,8 +169,8 @@ def rows_judged(rows: DataFrame, labels: DataFrame, text: str, doc_id: str, n_bu
     if n_buckets <= most:
 
         def mean(h: Column) -> Column:
-            weight = lambda b: F.coalesce(F.get(F.get(F.col("w"), F.shiftright(b, 16)), b.bitwiseAND(CHUNK - 1)), F.lit(0.0))
-            return F.aggregate(h, F.lit(0.0), lambda t, x: t + let(bucket(x, n_buckets), weight)) / F.greatest(F.size(h), F.lit(1))
+            weight = lambda b: F.get(F.get(F.col("w"), F.shiftright(b, 16)), b.bitwiseAND(CHUNK - 1))
+            return F.aggregate(F.transform(h, lambda x: bucket(x, n_buckets)), F.lit(0.0), lambda t, b: t + weight(b)) / F.greatest(F.size(h), F.lit(1))
 
         return rows.withColumn("w", dense(found, n_buckets).scalar()).withColumn("judged", judged(whole, mean)).drop("w")
     return by_join(rows, found, docs, n_buckets, whole, row_key(text, doc_id))
