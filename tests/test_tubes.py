@@ -131,3 +131,56 @@ def test_state_machine_rules():
     assert track.step(s, row | box("red"), rules)[1] == "none"  # inactive: no detection is tried
     s = track.State(True, 0, 4)
     assert track.step(s, row | box("trk") | box("red") | {"verify_sim": 0.1}, track.Rules())[1] == "detect" and s.since == 0
+
+
+def test_ema_is_the_fold_at_any_alpha_and_batch(spark):
+    rows = [(v, f, *[float((f * k + v) % 17) for k in (3, 5, 7, 11)], "x") for v in (1, 2) for f in range(0, 400, 3)]
+    df = spark.createDataFrame(rows, "video_id long, frame int, x1 double, y1 double, x2 double, y2 double, tag string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        for alpha in (0.6, 0.001, 1.0):
+            got = {(r.video_id, r.frame): (r.x1, r.y1, r.x2, r.y2, r.tag) for r in tube.ema(df, alpha).collect()}
+            for v in (1, 2):
+                state = None
+                for r in [r for r in rows if r[0] == v]:
+                    state = r[2:6] if state is None else tuple(alpha * b + (1 - alpha) * s for b, s in zip(r[2:6], state))
+                    assert got[v, r[1]][:4] == pytest.approx(state, abs=1e-9) and got[v, r[1]][4] == "x"
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("share", [0.0, 0.37, 0.5, 0.9, 1.0])
+def test_quantile_by_counting_is_the_percentile(spark, share):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values = {1: rng.normal(size=2000), 2: np.full(50, 0.25), 3: np.array([0.5]), 4: np.round(rng.uniform(size=900), 1), 5: np.append(np.zeros(500), 1e9)}
+    df = spark.createDataFrame([(v, float(x)) for v, xs in values.items() for x in xs] + [(1, None)], "video_id long, sim double")
+    for held in (1, match.MAX_HELD):
+        got = {r.video_id: r.q for r in match.quantile(df, share, held=held).collect()}
+        assert got == {v: pytest.approx(float(np.quantile(xs, share)), abs=1e-9) for v, xs in values.items()}
+
+
+def test_fallbacks_for_missing_videos(spark):
+    """A video without prediction counts with 0, one without ground truth doesn't; thresholds and prototypes fall back."""
+    boxes = lambda *videos: spark.createDataFrame([(v, 0, 0.0, 0.0, 10.0, 10.0) for v in videos], "video_id long, frame int, x1 double, y1 double, x2 double, y2 double")
+    assert tuple(evaluate.mean_st_iou(boxes(1, 5), boxes(1, 3)).first()) == (0.5, 2)
+    bars = spark.createDataFrame([(1, 0.3)], "video_id long, threshold double")
+    assert {r.video_id: r.threshold for r in match.effective(boxes(1, 3), bars, 0.55).collect()} == {1: 0.3, 3: 0.55}
+    base = spark.createDataFrame([(1, [1.0]), (3, [2.0])], "video_id long, vec array<double>")
+    got = {r.video_id: (r.vec, r.source) for r in prototype.best_of(base, base.where("video_id = 1").selectExpr("video_id", "array(9.0D) AS vec")).collect()}
+    assert got == {1: ([9.0], "dynamic"), 3: ([2.0], "base")}
+
+
+def test_prototypes_are_sent_only_if_they_are_few(spark, capsys):
+    cands = spark.createDataFrame([(1, [1.0, 0.0])], "video_id long, feature array<double>")
+    protos = spark.createDataFrame([(1, [1.0, 0.0])], "video_id long, vec array<double>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        match.score(cands, protos).explain()
+        assert "BroadcastHashJoin" in capsys.readouterr().out
+        match.score(cands, protos, n_videos=match.MAX_BROADCAST_VIDEOS + 1).explain()
+        plan = capsys.readouterr().out
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -52,7 +52,7 @@ def n_vectors(spark: SparkSession, sf_dir: str) -> int:
 
 
 def cand_feat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates with their features, dealt over all embeddings. SQL deals them over the first 500: the same at sf0.001 and sf0.01."""
+    """Candidates with their features, dealt over all embeddings."""
     return cand(spark, sf_dir).withColumn("vec_id", F.col("cand_id") % n_vectors(spark, sf_dir)).join(embeddings(spark, sf_dir).drop("label"), "vec_id").drop("vec_id")
 
 
@@ -92,11 +92,12 @@ SQL = {
     "pred": """pred AS (SELECT * FROM cand WHERE event_type IN ('view', 'click', 'purchase') QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY score DESC, cand_id) = 1)""",
     "gt": """gt AS (SELECT video_id, frame, x1, y1, x2, y2 FROM cand WHERE event_type IN ('error', 'signup') QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY cand_id) = 1)""",
     "emb": """emb AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS feature, CAST(label AS BIGINT) AS label FROM embeddings)""",
-    "cand_feat": """cand_feat AS (SELECT cand.*, emb.feature FROM cand JOIN emb ON emb.vec_id = cand.cand_id % 500)""",
-    "refs": """refs AS (SELECT (label - r + 10) % 10 AS video_id, r AS ref_id, vec_id AS view_id, feature, (label * 7 + 13) % 100 / 100 AS mask_ratio FROM emb, (SELECT unnest([0, 1, 2]) AS r) WHERE vec_id < 500)""",
+    "nv": """nv AS (SELECT count(*) AS nv FROM embeddings)""",
+    "cand_feat": """cand_feat AS (SELECT cand.*, emb.feature FROM cand CROSS JOIN nv JOIN emb ON emb.vec_id = cand.cand_id % nv)""",
+    "refs": """refs AS (SELECT (label - r + 10) % 10 AS video_id, r AS ref_id, vec_id AS view_id, feature, (label * 7 + 13) % 100 / 100 AS mask_ratio FROM emb, (SELECT unnest([0, 1, 2]) AS r))""",
     "patches": """patches AS (SELECT event_id // 256 AS tile, CAST(event_id % 16 AS INTEGER) AS gx, CAST((event_id // 16) % 16 AS INTEGER) AS gy, value / 500 AS sim FROM events)""",
 }
-NEEDS = {"cand": ["cand0"], "pred": ["cand"], "gt": ["cand"], "cand_feat": ["cand", "emb"], "refs": ["emb"]}
+NEEDS = {"cand": ["cand0"], "pred": ["cand"], "gt": ["cand"], "cand_feat": ["cand", "emb", "nv"], "refs": ["emb"]}
 
 
 def with_views(body: str, *views: str, recursive: bool = False) -> str:

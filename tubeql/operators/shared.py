@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df written to the shared folder of spark.checkpoint.dir and read again, so that it is computed once."""
+    """df written to the shared folder of spark.checkpoint.dir and read again, so that it is computed once.
+
+    A machine-local folder can't be read by other executors, so there is no default.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tubeql-"))
+        if shared is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared)
     return df.checkpoint()

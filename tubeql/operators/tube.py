@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from math import ceil, log
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.box import COORDS
@@ -17,17 +21,31 @@ def in_time():
 def ema(tube: DataFrame, alpha: float = 0.6) -> DataFrame:
     """s_0 = b_0, s_t = alpha b_t + (1 - alpha) s_(t-1) over a video's present frames; gaps don't reset it.
 
-    Folded over the last frames only, as many as weigh 1e-16 or more, so a row's work is bounded however long the
-    video is. For an alpha near 0 this is many frames.
+    Each video's rows are streamed in order of frames, the last smoothed box carried from batch to batch: exact, one
+    step a row, and no video is held whole.
     """
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be above 0 and at most 1")
-    back = 0 if alpha == 1 else ceil(log(1e-16) / log(1 - alpha))
-    step = lambda s, b: F.struct(*[(alpha * b[c] + (1 - alpha) * s[c]).alias(c) for c in COORDS])
-    last = F.collect_list(F.struct(*COORDS)).over(in_time().rowsBetween(-back, 0))
-    held = tube.withColumn("_last", last)
-    smooth = F.aggregate(F.slice("_last", 2, back + 1), F.get("_last", F.lit(0)), step)
-    return held.withColumn("_s", smooth).withColumns({c: F.col(f"_s.{c}") for c in COORDS}).drop("_last", "_s")
+    names = tube.columns
+    who, sides = names.index("video_id"), [names.index(c) for c in COORDS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, last = None, None
+        for b in batches:
+            videos, boxes = b.column(who).to_pylist(), np.stack([b.column(k).to_numpy(zero_copy_only=False).astype(float) for k in sides], axis=1)
+            starts = [i for i, v in enumerate(videos) if i == 0 or v != videos[i - 1]]
+            for at, stop in zip(starts, [*starts[1:], len(videos)]):
+                carried = last if videos[at] == video else boxes[at : at + 1]
+                path = pd.DataFrame(np.concatenate([carried, boxes[at:stop]])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[1:]
+                boxes[at:stop] = path
+                video, last = videos[at], path[-1:]
+            columns = list(b.columns)
+            for k, i in enumerate(sides):
+                columns[i] = pa.array(boxes[:, k])
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    fields = [T.StructField(f.name, T.DoubleType()) if f.name in COORDS else f for f in tube.schema.fields]
+    return tube.repartition("video_id").sortWithinPartitions("video_id", "frame").mapInArrow(run, T.StructType(fields))
 
 
 def fill_gaps(tube: DataFrame, max_gap: int = 3) -> DataFrame:

@@ -63,13 +63,17 @@ def sweep(scored: DataFrame, gt: DataFrame, zs: list[float], config: Config) ->
     """
     from ..operators.evaluate import evaluate
 
-    every = F.explode(F.array(*[F.struct(F.lit(float(z)).alias("z"), F.lit(i).alias("z_order")) for i, z in enumerate(zs)]))
-    wide = lambda df: df.withColumn("_z", every).withColumn("video_id", F.struct("_z.z_order", "video_id", "_z.z")).drop("_z")
     a = scored.groupBy("video_id").agg(F.avg("sim").alias("m"), F.stddev_pop("sim").alias("s"), F.max("sim").alias("top"))
-    bars = wide(a).select("video_id", F.least(F.greatest(F.col("m") + F.col("video_id.z") * F.col("s"), F.lit(config.matching.adaptive_floor)), F.col("top")).alias("threshold"))
-    found = match.detect(wide(scored), bars, config.matching.global_topk, config.matching.nms_iou, config.matching.topk_per_keyframe)
+    bar = lambda z: F.least(F.greatest(F.col("m") + z * F.col("s"), F.lit(config.matching.adaptive_floor)), F.col("top"))
+    # One row of thresholds a video; a candidate is multiplied only by the z that it passes.
+    bars = a.select("video_id", F.array(*[F.struct(F.lit(float(z)).alias("z"), F.lit(i).alias("z_order"), bar(float(z)).alias("threshold")) for i, z in enumerate(zs)]).alias("bars"))
+    passed = scored.join(bars, "video_id").withColumn("_z", F.explode(F.filter("bars", lambda b: F.col("sim") >= b["threshold"])))
+    own = lambda z: F.struct(F.col(f"{z}.z_order").alias("z_order"), F.col("video_id"), F.col(f"{z}.z").alias("z"))
+    wide = gt.withColumn("_z", F.explode(F.array(*[F.struct(F.lit(float(z)).alias("z"), F.lit(i).alias("z_order")) for i, z in enumerate(zs)])))
+    m = config.matching
+    found = match.kept(passed.withColumn("video_id", own("_z")), m.global_topk, m.nms_iou, m.topk_per_keyframe)
     first = found.where("det_rank = 1").select("video_id", "frame", "x1", "y1", "x2", "y2", "score")
-    return evaluate(final(first, config), wide(gt)).select("video_id.z", "video_id.z_order", F.col("video_id.video_id").alias("video_id"), "st_iou")
+    return evaluate(final(first, config), wide.withColumn("video_id", own("_z")).drop("_z")).select("video_id.z", "video_id.z_order", F.col("video_id.video_id").alias("video_id"), "st_iou")
 
 
 def keyframe_frames(frames: DataFrame, config: Config) -> DataFrame:

@@ -12,6 +12,7 @@ from .fixtures import with_views
 from .functions import vec
 from .functions import box as bx
 from .operators import blobs, evaluate, match, prototype, select, tiles, track, tube
+from .operators.shared import settle
 from .plans import composite
 from .plans.config import Config
 from .sources import frames as frame_source
@@ -127,13 +128,13 @@ def center_box(spark, sf):
     return fx.cand(spark, sf).select("cand_id", *bx.center_box(F.col("cand_id") % 97 + 20, F.col("cand_id") % 53 + 30, 0.7).named())
 
 
-_RATED = with_views("SELECT cand_id, round({}, 6) AS sim FROM (SELECT cand_id, f.feature AS a, e.feature AS b FROM cand_feat f JOIN emb e ON e.vec_id = f.cand_id % 7)", "cand_feat")
+_RATED = with_views("SELECT cand_id, round({}, 6) AS sim FROM (SELECT cand_id, f.feature AS a, e.feature AS b FROM cand_feat f CROSS JOIN nv JOIN emb e ON e.vec_id = (f.cand_id * 7 + 3) % nv)", "cand_feat")
 
 
 def _rated(metric):
     def run(spark, sf):
         other = fx.embeddings(spark, sf).select(F.col("vec_id").alias("_v"), F.col("feature").alias("_f"))
-        return fx.cand_feat(spark, sf).join(other, F.col("cand_id") % 7 == F.col("_v")).select("cand_id", F.round(vec.similarity(F.col("feature"), F.col("_f"), metric), 6).alias("sim"))
+        return fx.cand_feat(spark, sf).join(other, (F.col("cand_id") * 7 + 3) % fx.n_vectors(spark, sf) == F.col("_v")).select("cand_id", F.round(vec.similarity(F.col("feature"), F.col("_f"), metric), 6).alias("sim"))
 
     return run
 
@@ -145,19 +146,19 @@ query(_RATED.format("-list_sum(list_transform(list_zip(a, b), lambda p: abs(p[1]
 _UNNEST = "unnest({0}) AS value, generate_subscripts({0}, 1) - 1 AS pos"
 
 
-@query(with_views("SELECT vec_id, guard, CAST(pos AS INTEGER) AS pos, round(value, 6) AS value FROM (SELECT vec_id, guard, " + _UNNEST.format("list_transform(v, lambda x: x / CASE guard WHEN 'eps' THEN n + 1e-8 WHEN 'clip' THEN greatest(n, 1e-8) ELSE CASE WHEN n > 0 THEN n ELSE 1 END END)") + " FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id, list_transform(feature, lambda x: x * (vec_id % 5)) AS v FROM emb WHERE vec_id < 100)), (SELECT unnest(['positive', 'eps', 'clip']) AS guard))", "emb"))
+@query(with_views("SELECT vec_id, guard, CAST(pos AS INTEGER) AS pos, round(value, 6) AS value FROM (SELECT vec_id, guard, " + _UNNEST.format("list_transform(v, lambda x: x / CASE guard WHEN 'eps' THEN n + 1e-8 WHEN 'clip' THEN greatest(n, 1e-8) ELSE CASE WHEN n > 0 THEN n ELSE 1 END END)") + " FROM (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM (SELECT vec_id, list_transform(feature, lambda x: x * (vec_id % 5)) AS v FROM emb)), (SELECT unnest(['positive', 'eps', 'clip']) AS guard))", "emb"))
 def l2_normalize(spark, sf):
     """The three guards against zero vectors; each fifth vector is zero."""
-    e = fx.embeddings(spark, sf).where("vec_id < 100").withColumn("v", F.transform("feature", lambda x: x * (F.col("vec_id") % 5)))
+    e = fx.embeddings(spark, sf).withColumn("v", F.transform("feature", lambda x: x * (F.col("vec_id") % 5)))
     parts = [exploded(e.select("vec_id", F.lit(g).alias("guard"), vec.normalize(F.col("v"), g).alias("n")), ["vec_id", "guard"], "n") for g in ("positive", "eps", "clip")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query(with_views("SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(value, 6) AS value FROM (SELECT vec_id, " + _UNNEST.format("list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-8))") + " FROM (SELECT a.vec_id, list_concat(a.feature, b.feature) AS v FROM emb a JOIN emb b ON b.vec_id = (a.vec_id + 1) % 100 WHERE a.vec_id < 100))", "emb"))
+@query(with_views("SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(value, 6) AS value FROM (SELECT vec_id, " + _UNNEST.format("list_transform(v, lambda x: x / greatest(sqrt(list_dot_product(v, v)), 1e-8))") + " FROM (SELECT a.vec_id, list_concat(a.feature, b.feature) AS v FROM emb a CROSS JOIN nv JOIN emb b ON b.vec_id = (a.vec_id + 1) % nv))", "nv", "emb"))
 def embed_concat(spark, sf):
-    e = fx.embeddings(spark, sf).where("vec_id < 100")
+    e = fx.embeddings(spark, sf)
     other = e.select(F.col("vec_id").alias("_v"), F.col("feature").alias("_f"))
-    joined = e.join(other, (F.col("vec_id") + 1) % 100 == F.col("_v"))
+    joined = e.join(other, (F.col("vec_id") + 1) % fx.n_vectors(spark, sf) == F.col("_v"))
     return exploded(joined.select("vec_id", vec.concat(F.col("feature"), F.col("_f")).alias("v")), ["vec_id"], "v")
 
 
@@ -186,9 +187,9 @@ def ref_weights(spark, sf):
     return prototype.masks(refs, 0.2, 0.6).select("video_id", "ref_id", "view_id", "plausible", F.round("weight", 6).alias("weight"))
 
 
-@query(with_views("SELECT video_id, frame, CAST(floor(frame * 100 / 720) AS INTEGER) AS cell FROM pred WHERE frame % 50 = 0", "pred"))
+@query(with_views("SELECT video_id, frame, CAST(floor(frame * 100 / 720) AS INTEGER) AS cell FROM pred", "pred"))
 def timeline_cells(spark, sf):
-    p = fx.pred(spark, sf).where("frame % 50 = 0")
+    p = fx.pred(spark, sf)
     return tiles.timeline(p.withColumn("video_id", F.struct(*KEYS)), F.lit(720), 100).select("video_id.*", "cell")
 
 
@@ -322,9 +323,9 @@ def adaptive_threshold(spark, sf):
     return match.thresholds(match.score(fx.cand_feat(spark, sf), _proto(spark, sf))).select("video_id", *r6("threshold"))
 
 
-@query(with_views(_SCORED + f", b AS ({_BARS.format(1.5, 'sc')}) SELECT v.video_id, round(coalesce(threshold, 0.55), 6) AS threshold FROM (SELECT DISTINCT video_id FROM cand) v LEFT JOIN (SELECT * FROM b WHERE video_id % 3 = 0) USING (video_id)", "refs", "cand_feat"))
+@query(with_views(_SCORED + f", b AS ({_BARS.format(1.5, 'sc')}) SELECT v.video_id, round(coalesce(threshold, 0.55), 6) AS threshold FROM (SELECT DISTINCT video_id FROM cand) v LEFT JOIN b USING (video_id)", "refs", "cand_feat"))
 def effective_threshold(spark, sf):
-    bars = match.thresholds(match.score(fx.cand_feat(spark, sf), _proto(spark, sf))).where("video_id % 3 = 0")
+    bars = match.thresholds(match.score(fx.cand_feat(spark, sf), _proto(spark, sf)))
     return match.effective(fx.cand(spark, sf), bars).select("video_id", *r6("threshold"))
 
 
@@ -356,14 +357,26 @@ def dynamic_prototype(spark, sf):
     return exploded(match.refine(fx.cand_feat(spark, sf), _proto(spark, sf))[1], ["video_id", "updated"], "vec")
 
 
-@query(with_views(_REFINED + " SELECT video_id, CASE WHEN updated AND video_id % 2 = 0 THEN 'dynamic' ELSE 'base' END AS source, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos, round(unnest(v), 6) AS value FROM (SELECT a.video_id, updated, CASE WHEN updated AND a.video_id % 2 = 0 THEN b.vec ELSE a.vec END AS v FROM proto a JOIN proto2 b USING (video_id))", "refs", "cand_feat"))
+@query(with_views(_REFINED + " SELECT video_id, CASE WHEN updated THEN 'dynamic' ELSE 'base' END AS source, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos, round(unnest(v), 6) AS value FROM (SELECT a.video_id, updated, CASE WHEN updated THEN b.vec ELSE a.vec END AS v FROM proto a JOIN proto2 b USING (video_id))", "refs", "cand_feat"))
 def best_prototype(spark, sf):
     base = _proto(spark, sf)
-    refined = match.refine(fx.cand_feat(spark, sf), base)[1].where("updated AND video_id % 2 = 0")
+    refined = match.refine(fx.cand_feat(spark, sf), base)[1].where("updated")
     return exploded(prototype.best_of(base, refined), ["video_id", "source"], "vec")
 
 
-@query()
+def _mround(i: int) -> str:
+    """A round of refinement of lists of vectors: their mean's unit vector joins the list."""
+    return f"""
+    ms{i} AS (SELECT c.video_id, c.feature, list_avg(list_transform(p.vecs, lambda v: list_dot_product(c.feature, v))) AS sim FROM cand_feat c JOIN m{i} p USING (video_id)),
+    mbar{i} AS (SELECT video_id, greatest(quantile_cont(sim, 0.9), 0.15) AS bar FROM ms{i} GROUP BY video_id),
+    mbest{i} AS (SELECT s.* FROM ms{i} s JOIN mbar{i} USING (video_id) WHERE sim >= bar),
+    mcnt{i} AS (SELECT video_id FROM mbest{i} GROUP BY video_id HAVING count(*) >= 2),
+    mpos{i} AS (SELECT video_id, pos, avg(x) AS x FROM (SELECT video_id, unnest(feature) AS x, generate_subscripts(feature, 1) - 1 AS pos FROM mbest{i}) WHERE video_id IN (SELECT video_id FROM mcnt{i}) GROUP BY ALL),
+    mvec{i} AS (SELECT video_id, list(x ORDER BY pos) AS v FROM mpos{i} GROUP BY video_id),
+    m{i + 1} AS (SELECT p.video_id, CASE WHEN going AND v IS NOT NULL THEN list_append(vecs, list_transform(v, lambda x: x / (sqrt(list_dot_product(v, v)) + 1e-8))) ELSE vecs END AS vecs, updated OR (going AND v IS NOT NULL) AS updated, going AND v IS NOT NULL AS going FROM m{i} p LEFT JOIN mvec{i} USING (video_id))"""
+
+
+@query(with_views(_LISTS + ", m0 AS (SELECT video_id, list(vec ORDER BY ref_id) AS vecs, false AS updated, true AS going FROM rl GROUP BY video_id), " + _mround(0) + ", " + _mround(1) + " SELECT video_id, updated, CAST(len(vecs) AS INTEGER) AS n_vecs, round(list_sum(vecs[-1]), 6) AS last_total FROM m2", "refs", "cand_feat"))
 def dynamic_multi_ref(spark, sf):
     """The list of vectors grows by one a round."""
     protos = match.refine(fx.cand_feat(spark, sf), match.ref_list(prototype.ref_means(fx.refs(spark, sf))), multi=True)[1]
@@ -512,10 +525,9 @@ def st_iou_per_video(spark, sf):
     return evaluate.st_iou(fx.pred(spark, sf), fx.gt(spark, sf)).select("video_id", *r6("st_iou"), "n_union")
 
 
-@query(with_views("pp AS (SELECT * FROM pred WHERE video_id <> 3), gg AS (SELECT * FROM gt WHERE video_id <> 5), " + _sst("pp", "gg") + " SELECT round(coalesce(avg(coalesce(st_iou, 0)), 0), 6) AS mean_st_iou, count(*) AS n_videos FROM (SELECT DISTINCT video_id FROM gg) LEFT JOIN st USING (video_id)", "pred", "gt"))
+@query(with_views(_sst("pred", "gt") + " SELECT round(coalesce(avg(coalesce(st_iou, 0)), 0), 6) AS mean_st_iou, count(*) AS n_videos FROM (SELECT DISTINCT video_id FROM gt) LEFT JOIN st USING (video_id)", "pred", "gt"))
 def st_iou_mean(spark, sf):
-    """A video without prediction (3) counts with 0; one without ground truth (5) doesn't count."""
-    return evaluate.mean_st_iou(fx.pred(spark, sf).where("video_id <> 3"), fx.gt(spark, sf).where("video_id <> 5")).select(*r6("mean_st_iou"), "n_videos")
+    return evaluate.mean_st_iou(fx.pred(spark, sf), fx.gt(spark, sf)).select(*r6("mean_st_iou"), "n_videos")
 
 
 @query(with_views(f"keys AS (SELECT DISTINCT video_id, frame FROM cand WHERE frame % 8 = 0), on_ AS (SELECT g.* FROM gt g SEMI JOIN keys USING (video_id, frame)), b AS (SELECT g.video_id, g.frame, coalesce(max(CASE WHEN c.x1 IS NOT NULL THEN {siou('g.', 'c.')} END), 0.0) AS best FROM on_ g LEFT JOIN (SELECT * FROM cand WHERE event_type IN ('view', 'click')) c ON c.video_id = g.video_id AND c.frame = g.frame GROUP BY ALL) SELECT n.video_id, n_gt, count(best) AS on_keyframe, round(coalesce(avg(best), 0), 6) AS mean_best, round(coalesce(max(best), 0), 6) AS max_best, count(*) FILTER (best >= 0.3) AS hits_03, count(*) FILTER (best >= 0.5) AS hits_05 FROM (SELECT video_id, count(*) AS n_gt FROM gt GROUP BY video_id) n LEFT JOIN b USING (video_id) GROUP BY n.video_id, n_gt", "cand", "gt"))
@@ -531,7 +543,7 @@ def best_worst_match(spark, sf):
     return found.withColumns({f"{k}_{f}": F.round(f"{k}_{f}", 6) for k in ("worst", "best") for f in ("iou", "similarity")})
 
 
-@query(with_views(_PROTO0 + ", smp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame) AS rn FROM gt) WHERE (rn - 1) % 5 = 0), crop AS (SELECT s.video_id, list_dot_product(e.feature, p.vec) AS sim FROM smp s JOIN emb e ON e.vec_id = (s.frame * 3 + s.video_id) % 500 JOIN proto p ON p.video_id = s.video_id) SELECT video_id, count(*) AS n, round(min(sim), 6) AS min, round(quantile_cont(sim, 0.5), 6) AS p50, round(avg(sim), 6) AS mean, round(max(sim), 6) AS max FROM crop GROUP BY video_id", "gt", "refs"))
+@query(with_views(_PROTO0 + ", smp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame) AS rn FROM gt) WHERE (rn - 1) % 5 = 0), crop AS (SELECT s.video_id, list_dot_product(e.feature, p.vec) AS sim FROM smp s JOIN emb e ON e.vec_id = (s.frame * 3 + s.video_id) % (SELECT nv FROM nv) JOIN proto p ON p.video_id = s.video_id) SELECT video_id, count(*) AS n, round(min(sim), 6) AS min, round(quantile_cont(sim, 0.5), 6) AS p50, round(avg(sim), 6) AS mean, round(max(sim), 6) AS max FROM crop GROUP BY video_id", "gt", "refs", "nv"))
 def gt_ceiling(spark, sf):
     """Similarity of ground-truth crops, every fifth frame of a video that has one."""
     crops = frame_source.sample(fx.gt(spark, sf), 5).withColumn("vec_id", (F.col("frame") * 3 + F.col("video_id")) % fx.n_vectors(spark, sf)).join(fx.embeddings(spark, sf).drop("label"), "vec_id")
@@ -578,7 +590,7 @@ def loocv_mean(spark, sf):
 
 @query()
 def loocv_report(spark, sf):
-    s = _sweep(spark, sf)
+    s = settle(_sweep(spark, sf))
     return submissions.loocv_report(evaluate.loocv(s), evaluate.best_z(s))
 
 
@@ -609,22 +621,23 @@ def list_video_ids(spark, sf):
     return submissions.video_ids(submissions.parse(docs))
 
 
-@query(with_views("SELECT * FROM (SELECT video_id, frame, x1 FROM gt WHERE video_id NOT IN (SELECT video_id FROM pred WHERE video_id % 2 = 0) UNION ALL SELECT video_id, frame, x1 FROM pred WHERE video_id % 2 = 0)", "gt", "pred"))
+@query(with_views("SELECT * FROM (SELECT video_id * 2 AS video_id, frame, x1 FROM gt WHERE video_id * 2 NOT IN (SELECT video_id FROM pred) UNION ALL SELECT video_id, frame, x1 FROM pred)", "gt", "pred"))
 def submission_upsert(spark, sf):
-    cut = lambda df: df.select(*KEYS, "x1")
-    return submissions.upsert(cut(fx.gt(spark, sf)), cut(fx.pred(spark, sf).where("video_id % 2 = 0")))
+    """Old documents of other videos stay, those of the new ones' videos go."""
+    old = fx.gt(spark, sf).withColumn("video_id", F.col("video_id") * 2)
+    return submissions.upsert(old.select(*KEYS, "x1"), fx.pred(spark, sf).select(*KEYS, "x1"))
 
 
-@query(with_views("""l AS (SELECT cand_id // 4 AS stem, cand_id AS line_no, cand_id % 3 AS cls, concat_ws(' ', cand_id % 3, CAST(x1 AS INTEGER), CAST(y1 AS INTEGER)) AS rest FROM cand WHERE cand_id % 5 <> 0),
+@query(with_views("""l AS (SELECT cand_id // 4 AS stem, cand_id AS line_no, cand_id % 3 AS cls, concat_ws(' ', cand_id % 3, CAST(x1 AS INTEGER), CAST(y1 AS INTEGER)) AS rest FROM cand),
   i AS (SELECT DISTINCT cand_id // 4 AS stem FROM cand), one AS (SELECT 'a_' || stem AS image, coalesce(string_agg('0' || substr(rest, 2), chr(10) ORDER BY line_no) FILTER (cls = 1), '') AS lines, count(*) FILTER (cls = 1) AS n_lines FROM i LEFT JOIN l USING (stem) GROUP BY stem) SELECT * FROM one""", "cand"))
 def label_remap(spark, sf):
     """Lines of class 1 as class 0; images without any stay."""
     c = fx.cand(spark, sf).withColumn("stem", F.expr("cand_id div 4"))
-    lines = c.where("cand_id % 5 <> 0").select("stem", F.col("cand_id").alias("line_no"), F.concat_ws(" ", (F.col("cand_id") % 3).cast("string"), F.col("x1").cast("int").cast("string"), F.col("y1").cast("int").cast("string")).alias("line"))
+    lines = c.select("stem", F.col("cand_id").alias("line_no"), F.concat_ws(" ", (F.col("cand_id") % 3).cast("string"), F.col("x1").cast("int").cast("string"), F.col("y1").cast("int").cast("string")).alias("line"))
     return labels.keep_class(c.select("stem").distinct(), lines, 1, "a")
 
 
-@query(with_views("SELECT count(DISTINCT cand_id // 4) AS n_images, count(DISTINCT cand_id // 4) FILTER (cand_id % 5 <> 0 AND cand_id % 3 = 1) AS n_with_class FROM cand", "cand"))
+@query(with_views("SELECT count(DISTINCT cand_id // 4) AS n_images, count(DISTINCT cand_id // 4) FILTER (cand_id % 3 = 1) AS n_with_class FROM cand", "cand"))
 def label_counts(spark, sf):
     return labels.counts(label_remap(spark, sf))
 
@@ -679,18 +692,18 @@ def present_frames(spark, sf):
     return tracks.where(F.col("x1").isNotNull()).select(*KEYS, "x1")
 
 
-@query(with_views("SELECT cand_id, CAST(pos AS INTEGER) AS pos, round((value * 1000 / 255 - CASE pos % 3 WHEN 0 THEN 0.485 WHEN 1 THEN 0.456 ELSE 0.406 END) / CASE pos % 3 WHEN 0 THEN 0.229 WHEN 1 THEN 0.224 ELSE 0.225 END, 6) AS value FROM (SELECT cand_id, unnest(feature[1:6]) AS value, generate_subscripts(feature[1:6], 1) - 1 AS pos FROM cand_feat WHERE cand_id < 500)", "cand_feat"))
+@query(with_views("SELECT vec_id, CAST(pos AS INTEGER) AS pos, round((value * 1000 / 255 - CASE pos % 3 WHEN 0 THEN 0.485 WHEN 1 THEN 0.456 ELSE 0.406 END) / CASE pos % 3 WHEN 0 THEN 0.229 WHEN 1 THEN 0.224 ELSE 0.225 END, 6) AS value FROM (SELECT vec_id, unnest(feature) AS value, generate_subscripts(feature, 1) - 1 AS pos FROM emb)", "emb"))
 def standardized(spark, sf):
     """Interleaved channels, scaled and standardised."""
-    c = fx.cand_feat(spark, sf).where("cand_id < 500").withColumn("v", F.transform(F.slice("feature", 1, 6), lambda x: x * 1000))
-    return exploded(c.select("cand_id", vec.standardize(F.col("v"), [0.485, 0.456, 0.406], [0.229, 0.224, 0.225]).alias("s")), ["cand_id"], "s")
+    e = fx.embeddings(spark, sf).withColumn("v", F.transform("feature", lambda x: x * 1000))
+    return exploded(e.select("vec_id", vec.standardize(F.col("v"), [0.485, 0.456, 0.406], [0.229, 0.224, 0.225]).alias("s")), ["vec_id"], "s")
 
 
-@query(with_views("SELECT CAST(video_id AS VARCHAR) AS video_id, frame, x1 FROM gt WHERE video_id < 5 UNION ALL SELECT CAST(video_id AS VARCHAR), frame, x1 FROM pred WHERE video_id >= 5", "gt", "pred"))
+@query(with_views("SELECT 'gt/' || video_id AS video_id, frame, x1 FROM gt UNION ALL SELECT 'pred/' || video_id, frame, x1 FROM pred", "gt", "pred"))
 def gather_documents(spark, sf):
     """Documents of several files together."""
-    text = lambda df: submissions.documents(df).select(F.concat(F.lit("["), "entry", F.lit("]")).alias("value"))
-    both = text(fx.gt(spark, sf).where("video_id < 5")).unionByName(text(fx.pred(spark, sf).where("video_id >= 5")))
+    text = lambda df, name: submissions.documents(df.withColumn("video_id", F.concat(F.lit(name), F.col("video_id").cast("string")))).select(F.concat(F.lit("["), "entry", F.lit("]")).alias("value"))
+    both = text(fx.gt(spark, sf), "gt/").unionByName(text(fx.pred(spark, sf), "pred/"))
     return submissions.tubes(submissions.parse(both)).select(*KEYS, "x1")
 
 
