@@ -68,8 +68,8 @@ def test_scores(spark, sf):
         got = quality.report(df, labels, n_buckets=1024, most=most).collect()
         assert all(abs(r.score - want[r.doc_id]) < 2e-6 for r in got) and len(got) == len(docs)
     rows = df.select("doc_id", "text")
-    few, many = (quality.counted(rows, labels, 1024, most).collect() for most in (100, 1))
-    assert sorted(few) == sorted(many)  # the trusted ids sent, and joined
+    few, many, long = (quality.counted(rows, labels, 1024, chars, most).collect() for chars, most in ((10**6, 100), (10**6, 1), (1 << 31, 100)))
+    assert sorted(few) == sorted(many) == sorted(long)  # the trusted ids sent, and joined; both counts in one long, and apart
 
 
 def test_labelled_classes_part(spark):
@@ -90,10 +90,10 @@ def test_clashing_columns_and_empty_tables(spark):
 
 
 def test_buckets_follow_the_corpus(spark):
-    sizes = lambda n: quality.buckets_for(spark.createDataFrame([(1, "x" * 1024)], SCHEMA).crossJoin(spark.range(n)).select("doc_id", "text"))
-    assert sizes(1) == quality.LEAST_BUCKETS
-    per = quality.LEAST_BUCKETS * quality.CHARS_A_BUCKET // 1024
-    assert [sizes(per), sizes(per + 1), sizes(4 * per), sizes(5 * per)] == [quality.LEAST_BUCKETS * k for k in (1, 2, 4, 8)]
+    docs = spark.createDataFrame([(1, "x" * 1000), (2, None), (3, "é🙂")], SCHEMA)
+    assert quality.length_of(docs) == 1002 and quality.length_of(docs.limit(0)) == 0
+    per = quality.LEAST_BUCKETS * quality.CHARS_A_BUCKET
+    assert [quality.buckets_for(n) for n in (0, 1, per, per + 1, 4 * per, 5 * per)] == [quality.LEAST_BUCKETS * k for k in (1, 1, 1, 2, 4, 8)]
 
 
 def test_catch_rate_holds_when_the_corpus_grows(spark, monkeypatch):

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE_CLASS, checkpoint, numbered, row_key, skew_join
 
-LEAST_BUCKETS, CHARS_A_BUCKET = 1 << 20, 256
+LEAST_BUCKETS, CHARS_A_BUCKET = 1 << 20, 512
 #: Buckets whose weights are sent to all tasks at most (4 bytes each), and how many lie in one array.
 MAX_DENSE, CHUNK = 1 << 23, 1 << 16
 #: Ids of trusted documents that are sent to all tasks at most.
@@ -120,10 +120,14 @@ def buckets(text: Column, n_buckets: int) -> Column:
     return F.transform(both, lambda x: bucket(x, n_buckets))
 
 
-def buckets_for(docs: DataFrame) -> int:
-    """How many buckets this corpus gets; one pass over the lengths of all texts."""
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(LEAST_BUCKETS, 1 << max(0, -(-int(chars) // CHARS_A_BUCKET) - 1).bit_length())
+def length_of(docs: DataFrame) -> int:
+    """Characters of all texts; one pass over their lengths."""
+    return int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
+
+
+def buckets_for(chars: int) -> int:
+    """How many buckets a corpus of so many characters gets."""
+    return max(LEAST_BUCKETS, 1 << max(0, -(-chars // CHARS_A_BUCKET) - 1).bit_length())
 
 
 def trusted(labels: DataFrame) -> DataFrame:
@@ -132,13 +136,16 @@ def trusted(labels: DataFrame) -> DataFrame:
     return by_id.where(F.col("q") == 1).select("id")
 
 
-def counted(docs: DataFrame, labels: DataFrame, n_buckets: int, most: int = MAX_TRUSTED) -> DataFrame:
+def counted(docs: DataFrame, labels: DataFrame, n_buckets: int, chars: int, most: int = MAX_TRUSTED) -> DataFrame:
     """(b, raw, target): how often each bucket occurs in all documents, and in the trusted ones. docs: doc_id, text."""
     good = checkpoint(trusted(labels)).withColumn("t", F.lit(1).cast("long"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     found = rows.join(F.broadcast(good), "id", "left") if good.count() <= most else skew_join(rows, good, "id", "left")
-    each = found.select("t", F.explode(buckets(F.col("text"), n_buckets)).alias("b"))
-    return checkpoint(each.groupBy("b").agg(F.count("*").alias("raw"), F.coalesce(F.sum("t"), F.lit(0)).alias("target")))
+    each = found.select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(buckets(F.col("text"), n_buckets)).alias("b"))
+    if chars < 1 << 31:  # no count can be more, so one long holds both: a third less is shuffled
+        sums = each.groupBy("b").agg(F.sum(F.lit(1 << 32) + F.col("t")).alias("both"))
+        return checkpoint(sums.select("b", F.shiftright("both", 32).alias("raw"), F.col("both").bitwiseAND(F.lit((1 << 32) - 1)).alias("target")))
+    return checkpoint(each.groupBy("b").agg(F.count("*").alias("raw"), F.sum("t").alias("target")))
 
 
 def weights(counts: DataFrame) -> DataFrame | None:
@@ -161,8 +168,9 @@ def dense(found: DataFrame, n_buckets: int) -> DataFrame:
 def rows_judged(rows: DataFrame, labels: DataFrame, text: str, doc_id: str, n_buckets: int | None = None, most: int = MAX_DENSE) -> DataFrame:
     """rows with a column `judged` (as judged gives it). rows: columns c0, c1, ...; text and doc_id: two of them."""
     docs = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    n_buckets = buckets_for(docs) if n_buckets is None else n_buckets
-    found = weights(counted(docs, labels, n_buckets))
+    chars = length_of(docs)
+    n_buckets = buckets_for(chars) if n_buckets is None else n_buckets
+    found = weights(counted(docs, labels, n_buckets, chars))
     whole = F.col(text).cast("string")
     if found is None:
         return rows.withColumn("judged", judged(whole, lambda h: F.lit(0.0)))
