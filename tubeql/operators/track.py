@@ -43,8 +43,8 @@ def _box(row, prefix: str):
 
 def step(state: State, row, rules: Rules):
     """The box (or None) and its source for one frame; state moves on."""
-    red = _box(row, "red")
     if not rules.tracker:
+        red = _box(row, "red")
         return red, "detect" if red else "none"
     det = _box(row, "det")
     if det:
@@ -55,14 +55,15 @@ def step(state: State, row, rules: Rules):
     state.age += 1
     state.since += 1
     box = _box(row, "trk")
-    conf, sim = row["trk_conf"], row["verify_sim"]
+    conf = row["trk_conf"]
     good = box is not None and conf is not None and conf >= rules.confidence and state.age <= rules.max_age
     if good and 0 < rules.verify_interval <= state.since:
-        state.since = 0
+        state.since, sim = 0, row["verify_sim"]
         good = sim is not None and sim >= rules.threshold
     if good:
         return box, "track"
     state.active = False
+    red = _box(row, "red")
     if red:
         state.active, state.age, state.since = True, 0, 0
         return red, "detect"

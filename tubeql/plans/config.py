@@ -1,6 +1,6 @@
 """Typed configuration: defaults, a YAML file, and dotted overrides, in this order.
 
-Only settings that something reads are declared. Unlike a cache keyed by file names, stage tables are keyed by
+Only settings that something reads are declared (tests/test_models.py holds them to that). Unlike a cache keyed by file names, stage tables are keyed by
 fingerprint(), so a changed setting never meets an old table.
 """
 
@@ -15,6 +15,7 @@ import yaml
 from pydantic import BaseModel, ConfigDict, Field, field_validator, model_validator
 
 
+#: The defaults below, which results depend on.
 class Section(BaseModel):
     model_config = ConfigDict(extra="forbid")
 
@@ -22,7 +23,7 @@ class Section(BaseModel):
 class Project(Section):
     work_dir: str = "./runs"
     use_cache: bool = True
-    seed: int = 42
+    pixels: str = "stub"
 
 
 class References(Section):
@@ -33,8 +34,11 @@ class References(Section):
     mask_low: float = 0.03
     mask_high: float = 0.92
     center_ratio: float = 0.7
+    segmenter: str = "passthrough"
     synthetic_views: int = 0
     pitch_range: list[float] = [40.0, 85.0]
+    degrade: bool = True
+    seed: int = 42
 
 
 class Candidates(Section):

@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import composite
+from ..operators import prototype
+from . import composite, models
 from .config import Config
 
-#: What each stage's table depends on.
-SECTIONS = {"candidates": ("candidates",), "detections": ("candidates", "references", "matching"), "tracks": ("candidates", "references", "matching", "tracking"), "tube": ("candidates", "references", "matching", "tracking", "tubes")}
+_C, _M = ("candidates", "references"), ("candidates", "references", "matching")
+#: What each stage's table depends on, in order.
+SECTIONS = {"references": _C, "prototypes": _C, "candidates": _C, "thresholds": _M, "refined": _M, "detections": _M, "tracks": (*_M, "tracking"), "tube": (*_M, "tracking", "tubes")}
 
 
 class Store:
@@ -29,7 +31,9 @@ class Store:
     def table(self, stage: str, make: Callable[[], DataFrame], force: bool = False) -> DataFrame:
         """The stage's rows: read if they are there, else made and written."""
         if force or not self.config.project.use_cache or not self.has(stage):
-            make().repartition("video_id").sortWithinPartitions("video_id", "frame").write.mode("overwrite").partitionBy("video_id").parquet(self.path(stage))
+            rows = make()
+            order = [c for c in ("video_id", "frame") if c in rows.columns]
+            rows.repartition("video_id").sortWithinPartitions(*order).write.mode("overwrite").partitionBy("video_id").parquet(self.path(stage))
         return self.spark.read.parquet(self.path(stage))
 
 
@@ -38,13 +42,48 @@ def run_all(spark: SparkSession, config: Config, candidates: DataFrame, refs: Da
 
     Without tracks_of a frame's first detection is its track, which is what tracking without a tracker gives.
     """
+    plain = lambda d: d.where("det_rank = 1").select("video_id", "frame", "x1", "y1", "x2", "y2", "score", "source")
+    store, force = Store(spark, config), _force(from_stage)
+    cands = store.table("candidates", lambda: candidates, force["candidates"] and from_stage != "candidates")
+    dets, _, _ = matched(store, cands, refs, force)
+    tracks = store.table("tracks", lambda: (tracks_of or plain)(dets), force["tracks"] and from_stage != "candidates")
+    return store.table("tube", lambda: composite.final(tracks, config), force["tube"] and from_stage != "candidates")
+
+
+def _force(from_stage: str | None) -> dict[str, bool]:
     order = list(SECTIONS)
+    if from_stage is None:
+        return dict.fromkeys(order, False)
     if from_stage not in order:
         raise ValueError(f"stage {from_stage!r} is not one of {order}")
-    force = {s: order.index(s) >= order.index(from_stage) and from_stage != order[0] for s in order}
-    store = Store(spark, config)
-    cands = store.table("candidates", lambda: candidates, force["candidates"])
-    dets = store.table("detections", lambda: composite.detections(cands, refs, config)[0], force["detections"])
-    plain = lambda d: d.where("det_rank = 1").select("video_id", "frame", "x1", "y1", "x2", "y2", "score", "source")
-    tracks = store.table("tracks", lambda: (tracks_of or plain)(dets), force["tracks"])
-    return store.table("tube", lambda: composite.final(tracks, config), True if force["tube"] else False)
+    return {s: order.index(s) >= order.index(from_stage) for s in order}
+
+
+def matched(store: Store, cands: DataFrame, refs: DataFrame, force: dict[str, bool]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stage 3's tables: detections, thresholds and refined prototypes, made together."""
+    names = ("detections", "thresholds", "refined")
+    made: list[DataFrame] = []
+
+    def make(k: int) -> Callable[[], DataFrame]:
+        def one() -> DataFrame:
+            if not made:
+                made.extend(composite.detections(cands, refs, store.config))
+            return made[k]
+
+        return one
+
+    anew = force["detections"] and not force["candidates"]
+    return tuple(store.table(name, make(k), anew) for k, name in enumerate(names))
+
+
+def run_models(spark: SparkSession, config: Config, images: DataFrame, frames: DataFrame, from_stage: str | None = None) -> DataFrame:
+    """Reference images (video_id, ref_id, payload, width, height) and frames (video_id, frame, payload, width, height)
+    to tubes, each stage a table; stages from from_stage on are made anew."""
+    store, force = Store(spark, config), _force(from_stage)
+    refs = store.table("references", lambda: models.references(images, config), force["references"])
+    protos = store.table("prototypes", lambda: models.prototypes(refs, config), force["prototypes"])
+    cands = store.table("candidates", lambda: models.candidates(frames, protos, config), force["candidates"])
+    dets, bars, refined = matched(store, cands, refs, {**force, "candidates": False})
+    final = protos if config.matching.multi_reference else prototype.best_of(protos, refined.where("updated"))
+    tracks = store.table("tracks", lambda: models.scored_tracks(models.tracks(frames, dets, bars, final, config), dets), force["tracks"])
+    return store.table("tube", lambda: composite.final(tracks, config), force["tube"])
