@@ -68,6 +68,9 @@ def test_documents_last_wins_and_files(spark, tmp_path):
     assert sorted((r.video_id, r.frame) for r in submissions.tubes(both).collect()) == [("v", 1), ("v", 2), ("w", 6)]
     assert [r.frame for r in submissions.one_video(both, "w").collect()] == [5]
     assert sorted(r.video_id for r in submissions.video_ids(both).collect()) == ["e", "v", "w", "w"]
+    assert submissions.one_video(both, "e").collect() == []
+    with pytest.raises(Exception, match="no entry for video x"):
+        submissions.one_video(both, "x").collect()
     tube = submissions.tubes(both)
     submissions.write(tube, str(tmp_path / "out"))
     back = submissions.tubes(submissions.read_lines(spark, str(tmp_path / "out")))

@@ -13,7 +13,7 @@ from .functions import vec
 from .functions import box as bx
 from .operators import blobs, evaluate, match, prototype, select, tiles, track, tube
 from .operators.shared import settle
-from .plans import composite
+from .plans import composite, models
 from .plans.config import Config
 from .sources import frames as frame_source
 from .sources import labels, submissions
@@ -530,6 +530,12 @@ def st_iou_mean(spark, sf):
     return evaluate.mean_st_iou(fx.pred(spark, sf), fx.gt(spark, sf)).select(*r6("mean_st_iou"), "n_videos")
 
 
+@query(with_views(_sst("pred", "gt") + ", e AS (SELECT video_id, coalesce(st_iou, 0) AS st_iou FROM (SELECT DISTINCT video_id FROM gt) LEFT JOIN st USING (video_id)) SELECT video_id || ': ' || printf('%.4f', st_iou) AS line FROM e UNION ALL SELECT 'mean ST-IoU: ' || printf('%.4f', avg(st_iou)) || ' over ' || count(*) FROM e", "pred", "gt"))
+def evaluation_report(spark, sf):
+    """A line a video, in order, and the mean."""
+    return models.report(evaluate.evaluate(fx.pred(spark, sf), fx.gt(spark, sf)))
+
+
 @query(with_views(f"keys AS (SELECT DISTINCT video_id, frame FROM cand WHERE frame % 8 = 0), on_ AS (SELECT g.* FROM gt g SEMI JOIN keys USING (video_id, frame)), b AS (SELECT g.video_id, g.frame, coalesce(max(CASE WHEN c.x1 IS NOT NULL THEN {siou('g.', 'c.')} END), 0.0) AS best FROM on_ g LEFT JOIN (SELECT * FROM cand WHERE event_type IN ('view', 'click')) c ON c.video_id = g.video_id AND c.frame = g.frame GROUP BY ALL) SELECT n.video_id, n_gt, count(best) AS on_keyframe, round(coalesce(avg(best), 0), 6) AS mean_best, round(coalesce(max(best), 0), 6) AS max_best, count(*) FILTER (best >= 0.3) AS hits_03, count(*) FILTER (best >= 0.5) AS hits_05 FROM (SELECT video_id, count(*) AS n_gt FROM gt GROUP BY video_id) n LEFT JOIN b USING (video_id) GROUP BY n.video_id, n_gt", "cand", "gt"))
 def stage2_recall(spark, sf):
     c = fx.cand(spark, sf)

@@ -36,9 +36,10 @@ def tubes(parsed: DataFrame) -> DataFrame:
 
 
 def one_video(parsed: DataFrame, video_id: str) -> DataFrame:
-    """(frame, box) of the first entry of a video; of a frame's boxes the last counts."""
+    """(frame, box) of the first entry of a video; of a frame's boxes the last counts. An error if there is no entry."""
     own = parsed.where(F.col("video_id") == video_id)
-    first = own.agg(F.min(F.struct("doc", "entry")).alias("_e"))
+    missing = F.raise_error(F.lit(f"no entry for video {video_id}"))
+    first = own.agg(F.min(F.struct("doc", "entry")).alias("_e")).select(F.when(F.col("_e").isNull(), missing).otherwise(F.col("_e")).alias("_e"))
     found = own.join(F.broadcast(first), F.struct("doc", "entry") == F.col("_e")).where(F.col("frame").isNotNull())
     return _last(found.drop("_e", "doc", "entry", "video_id"), ["frame"], ["annotation", "item"])
 
