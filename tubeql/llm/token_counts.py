@@ -230,6 +230,7 @@ def counts(trees: DataFrame) -> DataFrame:
 def apply(trees: DataFrame, path: str, pattern: str, edits: DataFrame | None = None) -> DataFrame:
     """EDITED: the trees after the edits (doc_id, seq, start, removed, insert; None: standing_edits), with the tokens
     before and how many pre-tokens were encoded again. Rows without edits don't move and aren't looked at."""
+    trees = trees.select("doc_id", *PARTS)
     none = [F.col("tokens")[1].cast("long").alias("n_before"), F.lit(0).cast("long").alias("n_encoded")]
     rest = None
     if edits is not None:
