@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -33,10 +35,18 @@ def row_key(text: str = "text", doc_id: str = "doc_id") -> tuple[Column, Column]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, or one that was set on the context; never a machine-local guess."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that spark.checkpoint.dir names, or one that was set on the context.
+
+    Only where driver and executors are one process (master local) and neither is set, a temporary one is made; on a
+    cluster other executors couldn't read it, so there it is an error.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if found is None:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tubeql-")
+        context.setCheckpointDir(found)
     return found
 
 
