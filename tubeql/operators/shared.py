@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
     """df written to the shared folder of spark.checkpoint.dir and read again, so that it is computed once.
 
-    A machine-local folder can't be read by other executors, so there is no default.
+    Without that setting a temporary folder is made where driver and executors are one process (master local); on a
+    cluster other executors couldn't read one, so there it is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if shared is None:
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            shared = tempfile.mkdtemp(prefix="tubeql-")
         context.setCheckpointDir(shared)
     return df.checkpoint()
