@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, line_dedup, pii, quality, simhash, token_counts, toxicity, urls
+from . import bpe, chat, decontaminate, line_dedup, pii, quality, repair, simhash, token_counts, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +60,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    operators = (op1_simhash, op2_bpe, op3_decontaminate, op4_toxicity, op5_chat, op6_quality, op7_token_counts, op8_pii, op9_line_dedup, op10_url_filter)
+    operators = (op1_simhash, op2_bpe, op3_decontaminate, op4_toxicity, op5_chat, op6_quality, op7_token_counts, op8_pii, op9_line_dedup, op10_url_filter, op11_repair)
     return {f.__name__: f for f in (*operators, pipeline)}
 
 
