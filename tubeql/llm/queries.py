@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, line_dedup, pii, quality, repair, simhash, token_counts, toxicity, urls
+from . import bpe, chat, decontaminate, line_dedup, pii, quality, repair, search, simhash, token_counts, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.damaged(table(spark, sf_dir, "conversations")))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,9 +75,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    operators = (op1_simhash, op2_bpe, op3_decontaminate, op4_toxicity, op5_chat, op6_quality, op7_token_counts, op8_pii, op9_line_dedup, op10_url_filter, op11_repair)
+    operators = (op1_simhash, op2_bpe, op3_decontaminate, op4_toxicity, op5_chat, op6_quality, op7_token_counts, op8_pii, op9_line_dedup, op10_url_filter, op11_repair, op12_search)
     return {f.__name__: f for f in (*operators, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_url_filter": urls.oracle()}
+    return {"op3_decontaminate": decontaminate.ORACLE, "op5_chat": chat.ORACLE, "op9_line_dedup": line_dedup.ORACLE, "op10_url_filter": urls.oracle(), "op12_search": search.ORACLE}
