@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, line_dedup, pii, quality, repair, search, simhash, token_counts, toxicity, urls
+from . import bpe, chat, decontaminate, line_dedup, pii, ppm, quality, repair, search, simhash, token_counts, toxicity, urls
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,10 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), top=10)
 
 
+def op13_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.scores(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    operators = (op1_simhash, op2_bpe, op3_decontaminate, op4_toxicity, op5_chat, op6_quality, op7_token_counts, op8_pii, op9_line_dedup, op10_url_filter, op11_repair, op12_search)
+    operators = (op1_simhash, op2_bpe, op3_decontaminate, op4_toxicity, op5_chat, op6_quality, op7_token_counts, op8_pii, op9_line_dedup, op10_url_filter, op11_repair, op12_search, op13_lm)
     return {f.__name__: f for f in (*operators, pipeline)}
 
 
