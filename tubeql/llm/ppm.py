@@ -51,8 +51,8 @@ LOW = 2
 #: Entries of the table that are sent to all tasks, of each kind, at most.
 HEAD = 1 << 20
 #: Different entries that a task holds at most before it passes them on, symbols that it works on at once, and
-#: documents, whose number must fit beside a run in 64 bits.
-MAX_HELD, WINDOW, MAX_DOCS = 2_000_000, 1 << 20, 1 << 14
+#: documents, whose number must fit beside a run in 64 bits. A task's counts stay below 2**31, as a split's symbols do.
+MAX_HELD, WINDOW, MAX_DOCS = 1_000_000, 1 << 18, 1 << 14
 #: Kinds of entries.
 RUN, WORD, ENDS = 0, 1, 2
 #: Fixed value: what is added to each count of the unigram model.
@@ -113,29 +113,30 @@ def frequencies(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tally:
-    """Counts of a task: by key, in training and in all."""
+    """Counts of a task by key: those in training in the high half of a long, those in all in the low half."""
 
     def __init__(self, kind: int):
         self.kind, self.held, self.size = kind, [], 0
 
     def add(self, keys: np.ndarray, learn: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for some, factor in ((keys[learn], 1), (keys[~learn], 0)):
+        for some, factor in ((keys[learn], (1 << 32) + 1), (keys[~learn], 1)):
             if len(some):
                 found, n = frequencies(some)
-                self.held.append((found, factor * n, n))
+                self.held.append((found, factor * n))
                 self.size += len(found)
         if self.size > MAX_HELD:
             self.held = [summed(*(np.concatenate(x) for x in zip(*self.held)))]
             self.size = len(self.held[0][0])
-            if self.size > MAX_HELD // 2:
+            if self.size > MAX_HELD * 3 // 4:
                 yield from self.out()
+            give_back()
 
     def out(self) -> Iterator[pa.RecordBatch]:
         if self.held:
-            keys, train, every = summed(*(np.concatenate(x) for x in zip(*self.held)))
-            for at in range(0, len(keys), 1 << 17):
-                part = slice(at, at + (1 << 17))
-                yield batch(["kind", "key", "train", "every"], np.full(len(keys[part]), self.kind, dtype=np.int32), keys[part], train[part], every[part])
+            keys, both = summed(*(np.concatenate(x) for x in zip(*self.held)))
+            for at in range(0, len(keys), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                yield batch(["kind", "key", "train", "every"], np.full(len(keys[part]), self.kind, dtype=np.int32), keys[part], both[part] >> 32, both[part] & 0xFFFFFFFF)
         self.held, self.size = [], 0
 
 
