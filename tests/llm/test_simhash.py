@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tubeql.llm import components, simhash
+from tubeql.llm import components, families, simhash
 from tubeql.llm.common import table
 
 SCHEMA = "doc_id long, text string"
@@ -182,16 +182,16 @@ def jaccard(a, b):
     return 1.0 if a == b else len(a & b) / len(a | b)
 
 
-def brute_near(rows, limit=simhash.limit_for(512, 0.8, 0.95)):
-    """Rows that stay by comparing all pairs: near by fingerprint, and similar by shingles."""
-    prints, sets = [brute_wide(t) for _, t in rows], [shingles(t) for _, t in rows]
+def brute_near(rows):
+    """Rows that stay by comparing all pairs on their shingles: one of each group that a similarity of 0.8 connects."""
+    sets = [shingles(t) for _, t in rows]
     left, out = set(range(len(rows))), []
     while left:
         front = [left.pop()]
         group = set(front)
         while front:
             x = front.pop()
-            near = {k for k in left if prints[x] == prints[k] or (prints[x] ^ prints[k]).bit_count() <= limit and jaccard(sets[x], sets[k]) >= 0.8}
+            near = {k for k in left if jaccard(sets[x], sets[k]) >= 0.8}
             left -= near
             front.extend(near)
             group |= near
@@ -221,7 +221,9 @@ def test_wide_fingerprints_are_their_definition():
     import pyarrow as pa
 
     texts = ["", None, "a", "A b", "a b c d e", "a b c d e f g " * 90, "x\x0by\x1cz É é q", "w" * 3000] + [t for _, t in near_made()[:20]]
-    got = simhash.wide_fingerprints(pa.array(texts), 5, 8)
+    got, names = simhash.wide_fingerprints(pa.array(texts), 5, 8)
+    sets = [frozenset(shingles(t)) for t in texts]
+    assert len({tuple(x) for x in names.tolist()}) == len(set(sets)) == len({(s, tuple(x)) for s, x in zip(sets, names.tolist())})
     assert [sum(int(x) << (64 * k) for k, x in enumerate(row)) for row in got] == [brute_wide(t) for t in texts]
 
 
@@ -255,6 +257,64 @@ def test_pairs_of_a_similarity_are_found(spark):
     assert len({found[a] for a, _ in pairs}) == len(pairs)
 
 
+def template(rng, n, size, own):
+    """n documents with a template of `size` words of which `own` words of each, in one run, are its own."""
+    base = words(rng, size)
+    out = []
+    for k in range(n):
+        at = rng.randrange(size - own)
+        out.append(" ".join(base[:at] + [f"own{k}x{i}" for i in range(own)] + base[at + own :]))
+    return out
+
+
+@pytest.mark.parametrize("own", [60])
+def test_a_crowd_that_is_not_similar_stays(spark, own):
+    """400 documents of one template, most pairs of a similarity below 0.8: nothing goes but what all pairs on their
+    shingles say; documents of the crowd whose only similar one is just at 0.8 may be found apart."""
+    rows = list(enumerate(template(random.Random(own), 400, 400, own)))
+    want = {d for d, _ in brute_near(rows)}
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert want <= kept and 400 - len(kept) >= 0.9 * (400 - len(want)) and len(want) > 1
+
+
+def test_a_shingle_that_fills_a_text_links_nothing(spark):
+    rng = random.Random(8)
+    rows = [(k, "the " * 200 + " ".join(words(rng, 60))) for k in range(3)] + [(3, None), (4, ""), (5, "the " * 300), (6, "the " * 400)]
+    assert sorted(r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, SCHEMA)).collect()) == [0, 1, 2, 3, 5]
+
+
+def mixed_families(seed):
+    rng = random.Random(seed)
+    rows, k = [], 0
+    for family in range(12):
+        texts = template(rng, rng.choice([2, 9, 40]), 120, rng.choice([3, 8, 13, 18]))
+        texts += [t.replace("own", "other", rng.randint(0, 9)) for t in texts[:4]] + rng.choice([[], ["", " "], ["one two"]])
+        rows += [(family, k + i, t) for i, t in enumerate(texts)]
+        k += len(texts)
+    return rows + rows[:5]
+
+
+@pytest.mark.parametrize("small, leaders", [(1_000, 4), (0, 1), (20, 2)])
+def test_families_of_any_size_are_searched_exactly(spark, monkeypatch, small, leaders):
+    rows = mixed_families(small)
+    monkeypatch.setattr(families.large_links, "__defaults__", (leaders,))
+    pairs = families.similar_pairs(spark.createDataFrame(rows, "family long, id long, text string").repartition(3), 5, 0.8, small=small)
+    found = {r.node: r.root for r in components.components(pairs).collect()}
+    for family in {f for f, _, _ in rows}:
+        mine = sorted({(i, t) for f, i, t in rows if f == family})
+        sets, root = {i: shingles(t) for i, t in mine}, {}
+        for i, _ in mine:
+            if i in root:
+                continue
+            front, root[i] = [i], i
+            while front:
+                x = front.pop()
+                near = [j for j, _ in mine if j not in root and jaccard(sets[x], sets[j]) >= 0.8]
+                root |= dict.fromkeys(near, i)
+                front += near
+        assert {i: found.get(i, i) for i, _ in mine} == root
+
+
 @pytest.mark.parametrize("block", [16, 2048])
 def test_a_crowd_in_one_key_is_dealt_out(spark, block):
     """Keys larger than a block give the same components; with a crowd near the leader and classes that aren't."""

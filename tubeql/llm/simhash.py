@@ -13,8 +13,11 @@
    Classes that meet are verified on all bits, a wave of a breadth-first search against those not yet reached at a
    time. Crowds are linked by a spanning forest, never by all pairs. A key of more than BLOCK classes is dealt to many
    tasks: what is near its leader is linked to that; what isn't meets all others, block by block.
-4. Where a similarity is asked for, linked pairs outside crowds are verified on their shingles.
-5. Connected components of the links; the least doc_id of a component names it.
+4. Connected components of the links; the least doc_id of a component names it.
+
+Where a similarity is asked for, classes are the different sets of shingles, and the components by fingerprints are
+only families in which to look (module families): links are the pairs of a family whose sets have the similarity, and
+they are found exactly, whatever the family's size. Fingerprints decide nothing but who is compared with whom.
 
 Defined results
 * null or empty text, or one of white space only: fingerprint zero, linked like any other.
@@ -23,14 +26,13 @@ Defined results
   component unless it has no other (then component_id is null).
 * very long texts are hashed whole; an empty table gives an empty result; other columns are not looked at, and may
   have any names.
-* in fingerprints of several words a class is named by a 64-bit hash of them.
+* sets of shingles are told apart by 128-bit hashes of theirs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from fractions import Fraction
 from itertools import accumulate, combinations
 from math import acos, comb, log, pi
 
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, batch, checkpoint, longs, numbered, row_key, sized, skew_join
 from .components import components
+from .families import similar_pairs
 from .wordvec import blocks, gram_hashes, mix, runs_inside, word_hashes, word_places
 
 BITS = 64
@@ -61,6 +64,8 @@ WAVE = 64
 PARTS = range(2, 9)
 #: Large keys up to this number are sent to all tasks.
 MAX_BROADCAST = 10_000
+#: Sets of shingles that may share half of their hash.
+MOST_SHARED = 10_000
 #: Steps of the dynamic programme in which the chance of a miss is counted, as parts of its logarithm.
 GRAIN = 100
 
@@ -112,9 +117,10 @@ def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def wide_fingerprints(column: pa.Array, words: int, width: int) -> np.ndarray:
-    """A row of `width` 64-bit words for each text; all hashes come from the shingle's one by mixing."""
-    out = np.zeros((len(column), width), dtype=np.uint64)
+def wide_fingerprints(column: pa.Array, words: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each text `width` 64-bit words, all from hashes that come from the shingle's one by mixing, and two more
+    that name its set of shingles: sums over the set of two other hashes."""
+    out, names = np.zeros((len(column), width), dtype=np.uint64), np.zeros((len(column), 2), dtype=np.uint64)
     for at, octets, offsets in blocks(column):
         starts, ends, first = word_places(octets, offsets)
         h = word_hashes(octets, starts, ends)
@@ -129,9 +135,16 @@ def wide_fingerprints(column: pa.Array, words: int, width: int) -> np.ndarray:
             order = np.argsort(np.concatenate([whose, short]), kind="stable")
             kept, whose = np.concatenate([kept, lone])[order], np.concatenate([whose, short])[order]
         cuts = np.searchsorted(whose, np.arange(len(n_words) + 1))
+        derived = lambda k: mix(kept + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64))  # noqa: B023, E731
         for k in range(width):
-            out[at : at + len(n_words), k] = majority(mix(kept + np.uint64((k + 1) * 0x9E3779B97F4A7C15 % 2**64)), cuts)
-    return out
+            out[at : at + len(n_words), k] = majority(derived(k), cuts)
+        order = np.lexsort((kept, whose))
+        new = np.append(True, (kept[order][1:] != kept[order][:-1]) | (whose[order][1:] != whose[order][:-1]))[: len(kept)]
+        some = np.flatnonzero(np.diff(cuts))
+        for k in range(2):
+            if len(some):
+                names[at + some, k] = np.add.reduceat(np.where(new, derived(width + k)[order], np.uint64(0)), cuts[some])
+    return out, names
 
 
 def rows_of(column: pa.Array) -> np.ndarray:
@@ -145,25 +158,39 @@ def lists_of(prints: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(prints).view(np.int64).ravel()))
 
 
-def fingerprints(docs: DataFrame, words: int = 4, bits: int = BITS) -> DataFrame:
-    """(doc_id, k1, k2, id, fp): the document's key, its class and its fingerprint, an array of longs.
+def documents_of(docs: DataFrame) -> DataFrame:
+    k1, k2 = row_key()
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
+
 
-    One word is the majority of the shingles' XXH64, several are that of hashes derived from them.
-    """
-    width = bits // 64
+def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
+    """(doc_id, k1, k2, id, fp): the document's key, its class and its fingerprint, the majority of its shingles' XXH64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if width == 1:
-                prints = np.array([fingerprint(shingle_hashes(t, words)) for t in as_bytes(b.column(3))], dtype=np.uint64).reshape(-1, 1)
-            else:
-                prints = wide_fingerprints(b.column(3), words, width)
+            prints = np.array([fingerprint(shingle_hashes(t, words)) for t in as_bytes(b.column(3))], dtype=np.uint64).reshape(-1, 1)
             yield batch(["doc_id", "k1", "k2", "fp"], *b.columns[:3], lists_of(prints))
 
-    k1, k2 = row_key()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
-    found = rows.mapInArrow(run, "doc_id long, k1 long, k2 long, fp array<long>")
-    return found.select("doc_id", "k1", "k2", (F.col("fp")[0] if width == 1 else F.xxhash64("fp")).alias("id"), "fp")
+    found = documents_of(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, fp array<long>")
+    return found.select("doc_id", "k1", "k2", F.col("fp")[0].alias("id"), "fp")
+
+
+def set_prints(docs: DataFrame, words: int, bits: int) -> DataFrame:
+    """As fingerprints, of `bits` bits; a class is a set of shingles. Written."""
+    width = bits // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prints, names = wide_fingerprints(b.column(3), words, width)
+            yield batch(["doc_id", "k1", "k2", "h1", "h2", "fp"], *b.columns[:3], names[:, 0].view(np.int64), names[:, 1].view(np.int64), lists_of(prints))
+
+    found = checkpoint(documents_of(docs).mapInArrow(run, "doc_id long, k1 long, k2 long, h1 long, h2 long, fp array<long>"))
+    # A set is named by the first half of its hash, unless two sets share that: at 4 * 10**10 of them some 40 pairs do.
+    shared = found.groupBy("h1").agg(F.min("h2").alias("a"), F.max("h2").alias("z")).where("a <> z").select("h1").limit(MOST_SHARED + 1).collect()
+    if len(shared) > MOST_SHARED:
+        raise ValueError("hashes of sets collide more often than chance allows")
+    name = F.when(F.col("h1").isin([r["h1"] for r in shared]), F.xxhash64("h1", "h2")).otherwise(F.col("h1")) if shared else F.col("h1")
+    return found.select("doc_id", "k1", "k2", name.alias("id"), "fp")
 
 
 def bit_matrix(prints: np.ndarray) -> np.ndarray:
@@ -383,12 +410,9 @@ def joined(links: np.ndarray) -> np.ndarray:
         reach = further
 
 
-def spanning(ids: np.ndarray, prints: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray, bool]]:
-    """Links (one, another, sure) that connect what distances up to limit connect.
-
-    Where few are near each other all near pairs of a wave are links (not sure: there is nothing else to know); where
-    many are, it is a spanning forest (sure).
-    """
+def spanning(ids: np.ndarray, prints: np.ndarray, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Links (one, another) that connect what distances up to limit connect: all of a wave, or where there are many, a
+    spanning forest."""
     left, out = np.arange(len(ids)), []
     front = left[:0]
     while len(front) or len(left) > 1:
@@ -401,13 +425,13 @@ def spanning(ids: np.ndarray, prints: np.ndarray, limit: int) -> list[tuple[np.n
         found = left[met]
         close = close[:, met]
         if max((close.sum(1) + inner.sum(1)).max(initial=0) - 1, 0) > CROWD:
-            out.append((ids[wave[close.argmax(0)]], ids[found], True))
+            out.append((ids[wave[close.argmax(0)]], ids[found]))
             # What two of the wave both reach connects them.
             reach = close.astype(np.float32)
-            out.append((ids[wave[joined(inner | ((reach @ reach.T) > 0))]], ids[wave], True))
+            out.append((ids[wave[joined(inner | ((reach @ reach.T) > 0))]], ids[wave]))
         else:
             for (a, b), others in ((np.nonzero(close), found), (np.nonzero(np.triu(inner, 1)), wave)):
-                out.append((ids[wave[a]], ids[others[b]], False))
+                out.append((ids[wave[a]], ids[others[b]]))
         front, left = np.concatenate([front, found]), left[~met]
     return out
 
@@ -417,26 +441,21 @@ def settle(key: np.ndarray, ids: np.ndarray, prints: np.ndarray, limit: int) ->
     starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     sizes = np.diff(np.append(starts, len(key)))
     none = np.zeros(0, dtype=np.int64)
-    found = [(none, none, False)]
+    found = [(none, none)]
     small = np.repeat(np.where(sizes <= DIRECT, sizes, 0), sizes)
     for d in range(1, min(DIRECT, int(sizes.max()))):
         at = np.flatnonzero((key[d:] == key[:-d]) & (small[d:] > d))
         at = at[np.bitwise_count(prints[at] ^ prints[at + d]).sum(1, dtype=np.int64) <= limit]
-        found.append((ids[at], ids[at + d], False))
+        found.append((ids[at], ids[at + d]))
     for k in np.flatnonzero(sizes > DIRECT):
         found += spanning(ids[starts[k] : starts[k] + sizes[k]], prints[starts[k] : starts[k] + sizes[k]], limit)
     a, b = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-    sure = np.repeat([x[2] for x in found], [len(x[0]) for x in found])
     other = a != b
-    return batch(["a", "b", "sure"], np.minimum(a, b)[other], np.maximum(a, b)[other], sure[other])
-
-
-def distinct_links(found: DataFrame) -> DataFrame:
-    return found.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+    return batch(["a", "b"], np.minimum(a, b)[other], np.maximum(a, b)[other])
 
 
 def compared(rows: DataFrame, limit: int) -> DataFrame:
-    """(a, b, sure): the links inside each key of rows (key, id, fp)."""
+    """(a, b): the links inside each key of rows (key, id, fp)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # the last key's rows so far
@@ -453,7 +472,7 @@ def compared(rows: DataFrame, limit: int) -> DataFrame:
         if held:
             yield settle(*[np.concatenate(x) for x in zip(*held)], limit)
 
-    return rows.select("key", "id", "fp").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long, sure boolean")
+    return rows.select("key", "id", "fp").repartition("key").sortWithinPartitions("key", "id").mapInArrow(run, "a long, b long")
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -462,11 +481,11 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def large_links(rows: DataFrame, leaders: DataFrame, limit: int, block: int) -> DataFrame:
-    """(a, b, sure): the links inside large keys. leaders: (key, n, leader, leader_fp), one row a key."""
+    """(a, b): the links inside large keys. leaders: (key, n, leader, leader_fp), one row a key."""
     few = leaders.count() <= MAX_BROADCAST
     meet = lambda fact, dim: fact.join(F.broadcast(dim), "key") if few else skew_join(fact, dim, "key")
     led = checkpoint(meet(rows, leaders).withColumn("far", distance(F.col("fp"), F.col("leader_fp")) > limit))
-    direct = led.where(~F.col("far") & (F.col("id") != F.col("leader"))).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"), F.lit(True).alias("sure"))
+    direct = led.where(~F.col("far") & (F.col("id") != F.col("leader"))).select(F.least("leader", "id").alias("a"), F.greatest("leader", "id").alias("b"))
     # Those near the leader are connected. Each of the others meets all, a block of them and a block of all at a time.
     far = led.where("far").groupBy("key").agg(F.count("*").alias("n_far"))
     blocks_of = lambda n: F.ceil(F.col(n) / block).cast("int")
@@ -481,12 +500,12 @@ def large_links(rows: DataFrame, leaders: DataFrame, limit: int, block: int) ->
 
 
 def links(classes: DataFrame, plan: Plan, limit: int, block: int = BLOCK) -> DataFrame:
-    """(a, b, sure): links that connect all classes at limit differing bits or fewer that the plan's parts find."""
+    """(a, b): links that connect all classes at limit differing bits or fewer that the plan's parts find."""
     rows = signatures(classes, plan)
     large = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("id", "fp")).alias("l")).where(F.col("n") > block).select("key", "n", F.col("l.id").alias("leader"), F.col("l.fp").alias("leader_fp")))
     n = large.count()
     if not n:
-        return distinct_links(compared(rows, limit))
+        return compared(rows, limit).distinct()
     sizes = large.select("key", "n")
     if n <= MAX_BROADCAST:
         marked = rows.join(F.broadcast(sizes), "key", "left")
@@ -494,7 +513,7 @@ def links(classes: DataFrame, plan: Plan, limit: int, block: int = BLOCK) -> Dat
         marked = skew_join(rows, sizes, "key", "left")
     marked = checkpoint(marked)
     small = compared(marked.where("n IS NULL"), limit)
-    return distinct_links(small.unionByName(large_links(marked.where("n IS NOT NULL").drop("n"), large, limit, block)))
+    return small.unionByName(large_links(marked.where("n IS NOT NULL").drop("n"), large, limit, block)).distinct()
 
 
 def groups(docs: DataFrame, limit: int = 4, words: int = 4) -> DataFrame:
@@ -510,38 +529,19 @@ def similar_groups(docs: DataFrame, similarity: float = 0.8, words: int = 5, bit
     """As groups, of documents whose sets of shingles have a Jaccard similarity of `similarity` or more.
 
     A pair at that similarity is within the limit of the fingerprints with probability `inside`, and the parts find it
-    with probability `found_by`; more similar ones are found more often. Pairs are then verified on the shingles
-    themselves; among crowds (over CROWD near one of them) the fingerprints decide.
+    with probability `found_by`; more similar ones are found more often, and so are those that others connect. Every
+    link is then verified on the shingles themselves.
     """
-    prints = checkpoint(fingerprints(docs, words, bits))
+    prints = set_prints(docs, words, bits)
     classes = classes_of(prints)
     n, both = bit_statistics(classes, bits)
     limit = limit_for(bits, similarity, inside)
     plan = make_plan(n, both, limit, apart(similarity), found_by)
-    found = checkpoint(links(classes, plan, limit))
-    true = found.where("sure").select("a", "b").unionByName(verified(docs, classes, found.where("NOT sure"), words, similarity))
-    return heads_of(prints, classes, components(true))
-
-
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose sets of shingles, by 64-bit hashes, have the similarity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in as_bytes(b.column(1))]
-            yield batch(["id", "grams"], b.column(0), pa.array(sets, pa.list_(pa.int64())))
-
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    members = checkpoint(classes.join(ids, "id").select("id", F.col("head.k1").alias("k1"), F.col("head.k2").alias("k2")))
+    families = components(links(classes, plan, limit)).select(F.col("node").alias("id"), F.col("root").alias("family"))
+    members = checkpoint(families.join(classes, "id").select("family", "id", F.col("head.k1").alias("k1"), F.col("head.k2").alias("k2")))
     k1, k2 = row_key()
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text"))
-    found = texts.join(sized(members), ["k1", "k2"]).select("id", "text").mapInArrow(run, "id long, grams array<long>")
-    sets = checkpoint(found.groupBy("id").agg(F.first("grams").alias("grams")))  # repeated rows have one set
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("grams").alias(f"g{x}"))
-    both = skew_join(skew_join(pairs.select("a", "b"), side("a"), "a"), side("b"), "b")
-    common, total = F.size(F.array_intersect("ga", "gb")), F.size("ga") + F.size("gb")
-    share = Fraction(similarity).limit_denominator(10_000)
-    return both.where(common * (share.numerator + share.denominator) >= total * share.numerator).select("a", "b")
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col("text").cast("string").alias("text")).join(sized(members), ["k1", "k2"])
+    return heads_of(prints, classes, components(similar_pairs(texts.select("family", "id", "text"), words, similarity)))
 
 
 def classes_of(prints: DataFrame) -> DataFrame:
