@@ -181,3 +181,13 @@ def test_empty_table_and_clashing_columns(spark):
     assert run(spark, []) == []
     df = spark.createDataFrame([(1, CARDS[0], 5, "x")], SCHEMA + ", n_card int, kinds string")
     assert pii.pseudonymise(df, KEY).first().n_card == 1
+
+
+def test_addresses_and_numbers_of_any_length(spark):
+    """Texts of a million characters that a group in a pattern could be repeated over: the stack doesn't grow with them."""
+    n = 1_000_000
+    texts = ["x@" + "a." * (n // 2) + "com", "x@" + "ab." * (n // 3) + "com y@b.co", "x@" + "a" * n + ".com", "x" * n + "@b.com", "x@" + "a-" * (n // 2), "1 " * n, "1-" * n + "0", "4" * n, "1." * n, "+1 " * n, "token=" + "a/" * (n // 2), "password = " * 90_000, "2024-01-01." * 90_000]
+    got = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), SCHEMA), "k").select("doc_id", "text").collect()}
+    assert got[0] == texts[0] and got[5] == texts[5] and got[7] == texts[7] and got[8] == texts[8]
+    assert got[1].endswith(".example") and "y@b.co" not in got[1] and n - 400 < len(got[1]) < n  # the first 127 labels are an address
+    assert all(len(got[k]) < 200 for k in (2, 3)) and got[10] != texts[10]
