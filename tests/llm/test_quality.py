@@ -121,3 +121,13 @@ def test_keep_passes_any_columns(spark):
     out = quality.keep(docs, labels)
     assert out.schema.simpleString() == docs.schema.simpleString()
     assert [tuple(r) for r in out.collect()] == [(1, long_text, *range(len(names)))] * 2
+
+
+def test_buckets_of_a_hundred_terabytes(spark):
+    """2**38 buckets: numbers beyond an int, weights met in a join."""
+    rows = list(enumerate(TEXTS))
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame([(14, 1), (9, 1)], "doc_id long, quality int")
+    assert quality.buckets_for(10**14) == 1 << 38
+    far = {r.doc_id: r for r in quality.report(docs, labels, n_buckets=1 << 38).collect()}
+    near = {r.doc_id: r for r in quality.report(docs, labels, n_buckets=1 << 22).collect()}
+    assert {d: (r.kept, r.score) for d, r in far.items()} == {d: (r.kept, r.score) for d, r in near.items()}

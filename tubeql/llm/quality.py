@@ -111,7 +111,9 @@ def judged(text: Column, mean: Callable[[Column], Column]) -> Column:
 
 
 def bucket(h: Column, n_buckets: int) -> Column:
-    return F.pmod(h, F.lit(n_buckets)).cast("int")
+    """An int as long as that holds every bucket, a long beyond."""
+    found = F.pmod(h, F.lit(n_buckets).cast("long"))
+    return found.cast("int") if n_buckets <= 1 << 31 else found
 
 
 def buckets(text: Column, n_buckets: int) -> Column:
