@@ -83,6 +83,18 @@ def track_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(det, KEYS, "left").join(red, KEYS, "left")
 
 
+#: The size of the rasters that embeddings give: three numbers a pixel.
+IMAGE = (7, 3)
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, label, width, height, values, pixels): each vector's first numbers, in thousandths modulo 256, as an image."""
+    w, h = IMAGE
+    values = F.transform(F.slice("feature", 1, 3 * w * h), lambda x: F.pmod(F.floor(x * 1000), F.lit(256)).cast("int"))
+    pixels = F.unhex(F.array_join(F.transform("values", lambda v: F.lpad(F.hex(v), 2, "0")), ""))
+    return embeddings(spark, sf_dir).select("vec_id", "label", F.lit(w).alias("width"), F.lit(h).alias("height"), values.alias("values")).withColumn("pixels", pixels)
+
+
 #: The same views for the oracle.
 SQL = {
     "cand0": """cand0 AS (SELECT event_id AS cand_id, user_id % 10 AS video_id, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) * 24 + hour(ts) AS INTEGER) AS frame,
@@ -92,12 +104,13 @@ SQL = {
     "pred": """pred AS (SELECT * FROM cand WHERE event_type IN ('view', 'click', 'purchase') QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY score DESC, cand_id) = 1)""",
     "gt": """gt AS (SELECT video_id, frame, x1, y1, x2, y2 FROM cand WHERE event_type IN ('error', 'signup') QUALIFY row_number() OVER (PARTITION BY video_id, frame ORDER BY cand_id) = 1)""",
     "emb": """emb AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS feature, CAST(label AS BIGINT) AS label FROM embeddings)""",
+    "img": """img AS (SELECT vec_id, label, list_transform(feature[1:63], lambda x: CAST(((floor(x * 1000) % 256) + 256) % 256 AS INTEGER)) AS v FROM emb)""",
     "nv": """nv AS (SELECT count(*) AS nv FROM embeddings)""",
     "cand_feat": """cand_feat AS (SELECT cand.*, emb.feature FROM cand CROSS JOIN nv JOIN emb ON emb.vec_id = cand.cand_id % nv)""",
     "refs": """refs AS (SELECT (label - r + 10) % 10 AS video_id, r AS ref_id, vec_id AS view_id, feature, (label * 7 + 13) % 100 / 100 AS mask_ratio FROM emb, (SELECT unnest([0, 1, 2]) AS r))""",
     "patches": """patches AS (SELECT event_id // 256 AS tile, CAST(event_id % 16 AS INTEGER) AS gx, CAST((event_id // 16) % 16 AS INTEGER) AS gy, value / 500 AS sim FROM events)""",
 }
-NEEDS = {"cand": ["cand0"], "pred": ["cand"], "gt": ["cand"], "cand_feat": ["cand", "emb", "nv"], "refs": ["emb"]}
+NEEDS = {"cand": ["cand0"], "pred": ["cand"], "gt": ["cand"], "cand_feat": ["cand", "emb", "nv"], "refs": ["emb"], "img": ["emb"]}
 
 
 def with_views(body: str, *views: str, recursive: bool = False) -> str:

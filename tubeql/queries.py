@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .fixtures import with_views
 from .functions import vec
 from .functions import box as bx
-from .operators import blobs, evaluate, match, prototype, select, tiles, track, tube
-from .operators.shared import settle
+from .functions import mask as mk
+from .operators import blobs, evaluate, match, prototype, raster, select, tiles, track, tube
+from .operators.shared import settle, shared_path
 from .plans import composite, models
 from .plans.config import Config
 from .sources import frames as frame_source
-from .sources import labels, submissions
+from .sources import labels, submissions, video
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -721,3 +722,114 @@ def propose_and_embed(spark, sf):
     frames = tiles.keyframes(fx.cand(spark, sf).select(*KEYS).distinct(), 8).withColumns({"width": F.lit(1920), "height": F.lit(1080), "payload": F.encode(F.concat_ws("/", *KEYS), "utf-8")})
     crops = plugins.propose(frames).withColumn("payload", F.encode(F.concat_ws("/", *KEYS, "prop_id"), "utf-8"))
     return plugins.embed(crops).select(*KEYS, "prop_id", *r6(*B, "score"), F.round(vec.norm(F.col("feature")), 4).alias("norm"))
+
+
+# ---- masks, rasters, uncompressed video -------------------------------------------------------------------------
+
+#: In SQL: the sums of the three channels of each of an image's 21 pixels, and which of them a level leaves in a mask.
+_LIGHT = "light AS (SELECT vec_id, label, v, list_transform(range(0, 21), lambda i: v[3 * i + 1] + v[3 * i + 2] + v[3 * i + 3]) AS l FROM img)"
+_ON = "list_filter(range(0, 21), lambda i: l[i + 1] > {})"
+
+
+def light(values):
+    """Brightness by pixel."""
+    return F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.get(values, 3 * i) + F.get(values, 3 * i + 1) + F.get(values, 3 * i + 2))
+
+
+def bright(images, level: int):
+    """The mask of the pixels above a level, from numbers in columns."""
+    return mk.of_flags(F.transform(light(images), lambda x: x > level))
+
+
+@query(with_views(f"{_LIGHT}, m AS (SELECT vec_id, {_ON.format(400)} AS p FROM light) SELECT vec_id, CAST(len(p) AS BIGINT) AS area, round(len(p) / 21, 6) AS share, CAST(len(list_filter(p, lambda i: NOT list_contains(p, i - 1))) AS INTEGER) AS runs, CAST(list_min(list_transform(p, lambda i: i % 7)) AS INTEGER) AS x1, CAST(list_min(p) // 7 AS INTEGER) AS y1, CAST(list_max(list_transform(p, lambda i: i % 7)) + 1 AS INTEGER) AS x2, CAST(list_max(p) // 7 + 1 AS INTEGER) AS y2 FROM m", "img"))
+def mask_statistics(spark, sf):
+    """Area, share, runs and box of a mask that is made of columns."""
+    rows = fx.images(spark, sf).withColumn("m", bright(F.col("values"), 400))
+    box = mk.bounds(F.col("m"), F.col("width"))
+    return rows.select("vec_id", mk.area(F.col("m")).alias("area"), F.round(mk.share(F.col("m"), F.col("width"), F.col("height")), 6).alias("share"), F.size("m").alias("runs"), *[box[c].alias(c) for c in B])
+
+
+@query(with_views(f"{_LIGHT}, m AS (SELECT vec_id, {_ON.format(400)} AS p FROM light) SELECT a.vec_id, CAST(len(list_intersect(a.p, b.p)) AS BIGINT) AS shared, CAST(21 - len(list_distinct(list_concat(a.p, b.p))) AS BIGINT) AS outside, round(CASE WHEN len(list_concat(a.p, b.p)) > 0 THEN len(list_intersect(a.p, b.p)) / len(list_distinct(list_concat(a.p, b.p))) ELSE 0.0 END, 6) AS iou FROM m a CROSS JOIN nv JOIN m b ON b.vec_id = (a.vec_id + 1) % nv", "img", "nv"))
+def mask_overlap(spark, sf):
+    """Shared pixels, pixels of neither, and IoU of the masks of two images."""
+    m = fx.images(spark, sf).select("vec_id", bright(F.col("values"), 400).alias("a"))
+    other = m.select(F.col("vec_id").alias("_v"), F.col("a").alias("b"))
+    both = m.join(other, (F.col("vec_id") + 1) % fx.n_vectors(spark, sf) == F.col("_v"))
+    a, b = F.col("a"), F.col("b")
+    return both.select("vec_id", mk.area(mk.both(a, b)).alias("shared"), mk.area(mk.without(mk.either(a, b), F.lit(21))).alias("outside"), F.round(mk.iou(a, b), 6).alias("iou"))
+
+
+_SEGMENT = f"{_LIGHT}, s AS (SELECT vec_id, label, v, l, k, p, CASE WHEN len(p) BETWEEN 1 AND 20 THEN (list_sum(list_transform(p, lambda i: l[i + 1])) / len(p) - (list_sum(l) - list_sum(list_transform(p, lambda i: l[i + 1]))) / (21 - len(p))) * sqrt(len(p) / 21 * (1 - len(p) / 21)) ELSE 0.0 END AS score FROM (SELECT *, list_filter(range(0, 21), lambda i: l[i + 1] > k) AS p FROM light, (SELECT unnest([250, 400, 550]) AS k))), best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(score, 6) DESC, k) = 1)"
+_LEVELS = [250, 400, 550]
+
+
+def segmented(spark, sf):
+    """Images with the best of a model's masks, the smaller level's of equal ones."""
+    found = raster.segmented(fx.images(spark, sf), _LEVELS)
+    scores = F.transform("scores", lambda s: F.round(s, 6))
+    return found.withColumn("mask", mk.best(F.col("masks"), scores)).withColumn("score", F.array_max(scores))
+
+
+@query(with_views(_SEGMENT + " SELECT vec_id, round(score, 6) AS score, CAST(len(p) AS BIGINT) AS area, round(CASE WHEN len(p) / 21 BETWEEN 0.2 AND 0.6 THEN len(p) ELSE 10 END / 21, 6) AS used_share FROM best", "img"))
+def best_masks(spark, sf):
+    """A segmenter's masks of raw pixels, the best of them, and the middle of the image where its share is implausible."""
+    used = mk.plausible(F.col("mask"), F.col("width"), F.col("height"), 0.2, 0.6, 0.75)
+    return segmented(spark, sf).select("vec_id", "score", mk.area(F.col("mask")).alias("area"), F.round(mk.share(used, F.col("width"), F.col("height")), 6).alias("used_share"))
+
+
+@query(with_views("SELECT vec_id, CAST(c AS INTEGER) AS channel, round(list_sum(list_transform(range(0, 21), lambda i: v[3 * i + 1 + c])) / 21, 6) AS mean FROM img, (SELECT unnest([0, 1, 2]) AS c)", "img"))
+def background_means(spark, sf):
+    """The mean colour of raw pixels."""
+    done = raster.measured(fx.images(spark, sf)).select("vec_id", F.posexplode(raster.mean_color(F.col("sums"), F.col("width"), F.col("height"))).alias("channel", "mean"))
+    return done.select("vec_id", "channel", F.round("mean", 6).alias("mean"))
+
+
+@query(with_views(_SEGMENT + " SELECT vec_id, CAST(c AS INTEGER) AS channel, CAST(coalesce(list_sum(list_transform(p, lambda i: v[3 * i + 1 + c])), 0) + (21 - len(p)) * (list_sum(list_transform(range(0, 21), lambda i: v[3 * i + 1 + c])) // 21) AS BIGINT) AS total FROM best, (SELECT unnest([0, 1, 2]) AS c)", "img"))
+def masked_images(spark, sf):
+    """Images whose background has their mean colour."""
+    done = raster.measured(raster.painted(segmented(spark, sf)).select("vec_id", "width", "height", "pixels"))
+    return done.select("vec_id", F.posexplode("sums").alias("channel", "total"))
+
+
+_MIXED = "round_even(CAST(v[22 + 3 * {a} + c] AS DOUBLE) * (1 - {p}) + v[22 + 3 * {b} + c] * {p}, 0)"
+
+
+@query(with_views("SELECT vec_id, CAST(level AS INTEGER) AS level, CAST(c AS INTEGER) AS channel, CAST(CASE WHEN level = 0 THEN list_sum(list_transform(range(0, 21), lambda i: v[3 * i + 1 + c])) ELSE " + " + ".join(_MIXED.format(a=a, b=b, p=p) for a, b, p in ((0, 1, "(2.0 / 3)"), (3, 4, "0.0"), (5, 6, "(1.0 / 3)"))) + " END AS BIGINT) AS total FROM img, (SELECT unnest([0, 1, 2]) AS c), (SELECT unnest([0, 1]) AS level)", "img"))
+def image_pyramid(spark, sf):
+    """Channel sums of the images and of their halves, 3 x 1 pixels sampled from 7 x 3."""
+    done = raster.measured(raster.pyramid(fx.images(spark, sf).select("vec_id", "width", "height", "pixels"), [1.0, 0.5]))
+    return done.select("vec_id", "level", F.posexplode("sums").alias("channel", "total"))
+
+
+@query(with_views("SELECT vec_id, CAST(c AS INTEGER) AS channel, CAST(list_sum(list_transform(range(0, 21), lambda i: v[3 * (7 * greatest(i // 7 - 1, 0) + greatest(i % 7 - 2, 0)) + 1 + c])) AS BIGINT) AS total FROM img, (SELECT unnest([0, 1, 2]) AS c)", "img"))
+def warped_images(spark, sf):
+    """Images under a projective map that moves them by two pixels and one, with the border repeated."""
+    matrix = F.array(*[F.lit(float(x)) for x in (1, 0, 2, 0, 1, 1, 0, 0, 1)])
+    done = raster.measured(raster.warp(fx.images(spark, sf).select("vec_id", "width", "height", "pixels", matrix.alias("matrix"))))
+    return done.select("vec_id", F.posexplode("sums").alias("channel", "total"))
+
+
+_VIDEO = "SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM img"
+
+
+def stored_videos(spark, sf) -> str:
+    """The folder of uncompressed videos, one a label, that the images in order of vec_id make."""
+    path = shared_path(spark, "videos")
+    order = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = fx.images(spark, sf).select(F.col("label").cast("string").alias("video_id"), order.alias("frame"), "width", "height", F.lit(25.0).alias("fps"), F.col("pixels").alias("payload"))
+    video.save(rows, path)
+    return path
+
+
+@query(with_views(f"SELECT CAST(label AS VARCHAR) AS video_id, CAST(frame AS INTEGER) AS frame, CAST(list_sum(v) AS BIGINT) AS total FROM ({_VIDEO}) WHERE frame % 8 = 0 AND frame >= 8", "img"))
+def video_frames(spark, sf):
+    """Every eighth frame from the eighth on, of videos that were written and are read again by their index."""
+    rows = video.load(spark, stored_videos(spark, sf), stride=8).where("frame >= 8")
+    total = lambda s: F.aggregate(s, F.lit(0).cast("long"), lambda a, x: a + x)
+    return raster.measured(rows.withColumnRenamed("payload", "pixels")).select("video_id", "frame", total(F.col("sums")).alias("total"))
+
+
+@query(with_views(f"SELECT CAST(label AS VARCHAR) AS video_id, count(*) AS total_frames, 25.0::DOUBLE AS fps, 7 AS width, 3 AS height FROM ({_VIDEO}) GROUP BY label", "img"))
+def video_headers(spark, sf):
+    """What videos' headers and lengths say."""
+    return video.metadata(spark, stored_videos(spark, sf)).drop("path")
