@@ -62,10 +62,9 @@ def beside(a: Column, b: Column, by: int) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(by + 1), n), lambda x, y: F.xxhash64(x, y))
 
 
-def windows(hashes: Column) -> Column:
-    """Hashes of all runs of WINDOW words."""
-    run = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
-    return F.when(F.size(hashes) >= WINDOW, run(hashes)).otherwise(F.array().cast("array<bigint>"))
+def windows(hashes: Column, pairs: Column) -> Column:
+    """Hashes of all runs of WINDOW words, made of two pairs of neighbours and a word; pairs: beside(hashes, hashes, 1)."""
+    return let(beside(pairs, pairs, 2), lambda four: beside(four, hashes, WINDOW - 1))
 
 
 def covered(hashes: Column, width: int = WINDOW) -> Column:
@@ -91,7 +90,7 @@ def judged(text: Column, mean: Callable[[Column], Column]) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def of_hashes(h: Column) -> Column:
-        return let(beside(h, h, 1), lambda p: F.struct(covered(windows(h)).cast("long").alias("r"), let(F.concat(h, p), mean).alias("score")))
+        return let(beside(h, h, 1), lambda p: F.struct(covered(windows(h, p)).cast("long").alias("r"), let(F.concat(h, p), mean).alias("score")))
 
     def of_words(ws: Column) -> Column:
         return F.struct(F.size(ws).cast("long").alias("n"), F.length(F.array_join(ws, "")).cast("long").alias("chars"), let(word_hashes(ws), of_hashes).alias("h"))
