@@ -330,5 +330,6 @@ def metadata(spark: SparkSession, path: str) -> DataFrame:
 def frame(spark: SparkSession, path: str, video_id: str, number: int) -> DataFrame:
     """One frame; an error where there is none."""
     row = load(spark, path).where((F.col("video_id") == video_id) & (F.col("frame") == number))
-    missing = F.raise_error(F.lit(f"{video_id}: no frame {number}"))
-    return row.unionByName(spark.range(1).join(row.select("frame").limit(1), how="left_anti", on=F.lit(True)).select(missing.cast("string").alias("video_id"), *[F.lit(None).cast(t.split()[1]).alias(t.split()[0]) for t in SCHEMA.split(", ")[1:]]))
+    found = row.agg(F.first(F.struct(*row.columns)).alias("row"))
+    missing = F.raise_error(F.lit(f"{video_id}: no frame {number}")).cast(row.schema.simpleString())
+    return found.select(F.when(F.col("row").isNull(), missing).otherwise(F.col("row")).alias("row")).select("row.*")
