@@ -111,7 +111,8 @@ def judged(text: Column, mean: Callable[[Column], Column]) -> Column:
 
 def bucket(h: Column, n_buckets: int) -> Column:
     """An int as long as that holds every bucket, a long beyond."""
-    found = F.pmod(h, F.lit(n_buckets).cast("long"))
+    whole = n_buckets & (n_buckets - 1) == 0  # a power of two: the lowest bits, whatever the sign
+    found = h.bitwiseAND(F.lit(n_buckets - 1).cast("long")) if whole else F.pmod(h, F.lit(n_buckets).cast("long"))
     return found.cast("int") if n_buckets <= 1 << 31 else found
 
 
@@ -179,7 +180,8 @@ def rows_judged(rows: DataFrame, labels: DataFrame, text: str, doc_id: str, n_bu
 
         def mean(h: Column) -> Column:
             weight = lambda b: F.get(F.get(F.col("w"), F.shiftright(b, 16)), b.bitwiseAND(CHUNK - 1))
-            return F.aggregate(F.transform(h, lambda x: bucket(x, n_buckets)), F.lit(0.0), lambda t, b: t + weight(b)) / F.greatest(F.size(h), F.lit(1))
+            each = F.transform(h, lambda x: weight(bucket(x, n_buckets)))
+            return F.aggregate(each, F.lit(0.0), lambda t, w: t + w) / F.greatest(F.size(h), F.lit(1))
 
         return rows.withColumn("w", dense(found, n_buckets).scalar()).withColumn("judged", judged(whole, mean)).drop("w")
     return by_join(rows, found, docs, n_buckets, whole, row_key(text, doc_id))
