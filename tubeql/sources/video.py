@@ -206,8 +206,9 @@ class Y4MReader(DataSourceReader):
             out += [Frames(video, k, min(k + step, high), self.stride, self.payload) for k in range(first, high, step)]
         return out
 
-    def read(self, partition: Frames) -> Iterator[tuple]:
-        return partition.rows()
+    def read(self, partition: Frames | None) -> Iterator[tuple]:
+        """Spark asks for partition None where there is none."""
+        return partition.rows() if partition is not None else iter(())
 
 
 class Y4MStream(DataSourceStreamReader):
