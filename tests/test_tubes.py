@@ -184,3 +184,32 @@ def test_prototypes_are_sent_only_if_they_are_few(spark, capsys):
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("block", [1, 7, 64])
+def test_scans_in_blocks_are_the_scans_over_the_video(spark, block):
+    """Long runs over many blocks, gaps at their borders, blocks without rows, and one row alone."""
+    rng = random.Random(block)
+    frames = {1: [f for f in range(300) if rng.random() < 0.9], 2: [0, 1, 2, 6, 7, 8, 63, 64, 65, 127, 131, 400], 3: [64], 4: list(range(200))}
+    rows = [(v, f, *[rng.uniform(0, 99) for _ in range(4)], rng.random()) for v, fs in frames.items() for f in fs]
+    df = spark.createDataFrame(rows, ROW + ", score double")
+    for f in (lambda b: tube.ema(df, 0.3, b), lambda b: tube.fill_gaps(df, 3, b), lambda b: tube.segments(df, b)):
+        got, want = (sorted(tuple(r[c] for c in sorted(r.asDict())) for r in f(b).collect()) for b in (block, 1000))
+        assert len(got) == len(want) and all(g == pytest.approx(w, abs=1e-9) for g, w in zip(got, want))
+    for v, fs in frames.items():
+        runs = [[fs[0]]]
+        for a, b in zip(fs, fs[1:]):
+            runs.append([b]) if b - a > 1 else runs[-1].append(b)
+        want = sorted((f, i + 1, len(run)) for i, run in enumerate(runs) for f in run)
+        assert sorted((r.frame, r.segment, r.segment_len) for r in tube.segments(df, block).where(f"video_id = {v}").collect()) == want
+
+
+def test_one_long_video_is_many_tasks(spark):
+    one = spark.range(100_000).selectExpr("0L AS video_id", "cast(id AS int) AS frame", *[f"cast(id % {k} AS double) AS {c}" for k, c in zip((3, 5, 7, 11), ("x1", "y1", "x2", "y2"))], "0.5D AS score")
+    for df in (tube.ema(one, 0.6, 1000), tube.fill_gaps(one, 3, 1000), tube.segments(one, 1000)):
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            sizes = df.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+        finally:
+            spark.conf.unset("spark.sql.adaptive.enabled")
+        assert sum(sizes) == 100_000 and max(sizes) < 50_000
