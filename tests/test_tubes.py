@@ -193,13 +193,14 @@ def test_scans_in_blocks_are_the_scans_over_the_video(spark, block):
     frames = {1: [f for f in range(300) if rng.random() < 0.9], 2: [0, 1, 2, 6, 7, 8, 63, 64, 65, 127, 131, 400], 3: [64], 4: list(range(200))}
     rows = [(v, f, *[rng.uniform(0, 99) for _ in range(4)], rng.random()) for v, fs in frames.items() for f in fs]
     df = spark.createDataFrame(rows, ROW + ", score double")
-    for f in (lambda b: tube.ema(df, 0.3, b), lambda b: tube.fill_gaps(df, 3, b), lambda b: tube.segments(df, b)):
+    for f in (lambda b: tube.ema(df, 0.3, b), lambda b: tube.fill_gaps(df, 3, b), lambda b: tube.segments(df, b), lambda b: tube.drop_short(df, 4, b), lambda b: tube.drop_short(df, 9, b)):
         got, want = (sorted(tuple(r[c] for c in sorted(r.asDict())) for r in f(b).collect()) for b in (block, 1000))
         assert len(got) == len(want) and all(g == pytest.approx(w, abs=1e-9) for g, w in zip(got, want))
     for v, fs in frames.items():
         runs = [[fs[0]]]
         for a, b in zip(fs, fs[1:]):
             runs.append([b]) if b - a > 1 else runs[-1].append(b)
+        assert sorted(r.frame for r in tube.drop_short(df, 4, block).where(f"video_id = {v}").collect()) == [f for run in runs if len(run) >= 4 for f in run]
         want = sorted((f, i + 1, len(run)) for i, run in enumerate(runs) for f in run)
         assert sorted((r.frame, r.segment, r.segment_len) for r in tube.segments(df, block).where(f"video_id = {v}").collect()) == want
 

@@ -41,12 +41,9 @@ def ema(tube: DataFrame, alpha: float = 0.6, block: int = BLOCK) -> DataFrame:
     its first box b). Its last row's r, with the box and the number of rows, is the affine map of the block; these, a row
     a block, are composed in order. A row i of a block that begins with s is then r_i + (1 - alpha)^(i + 1) (s - b).
     """
-    return _ema(blocked(tube, block), alpha).drop("_block")
-
-
-def _ema(tube: DataFrame, alpha: float) -> DataFrame:
     if not 0 < alpha <= 1:
         raise ValueError("alpha must be above 0 and at most 1")
+    kept, tube = tube.columns, blocked(tube, block)
     names = tube.columns
     who, where, sides = names.index("video_id"), names.index("_block"), [names.index(c) for c in COORDS]
     firsts, ends = [f"_b_{c}" for c in COORDS], [f"_r_{c}" for c in COORDS]
@@ -90,21 +87,24 @@ def _ema(tube: DataFrame, alpha: float) -> DataFrame:
     kinds = [tube.schema["video_id"], tube.schema["_block"], *[T.StructField(f"_s_{c}", T.DoubleType()) for c in COORDS]]
     shifts = maps.repartition("video_id").sortWithinPartitions(*KEYS).mapInArrow(compose, T.StructType(kinds))
     moved = lambda c: F.col(c) + F.pow(F.lit(1 - alpha), F.col("_i") + 1) * F.coalesce(f"_s_{c}", F.lit(0.0))
-    return local.join(shifts, KEYS, "left").select(*[moved(c).alias(c) if c in COORDS else F.col(c) for c in names])
+    return local.join(shifts, KEYS, "left").select(*[moved(c).alias(c) if c in COORDS else F.col(c) for c in kept])
 
 
-def fill_gaps(tube: DataFrame, max_gap: int = 3, block: int = BLOCK) -> DataFrame:
-    """(video_id, frame, box, score) with inner gaps of 1 to max_gap frames filled by straight lines; a filled
-    frame's score is the mean of its neighbours'. A block's last row looks at the next block's first."""
-    return _fill_gaps(blocked(tube, block), max_gap)
+def with_halo(tube: DataFrame, before: int, after: int, block: int) -> DataFrame:
+    """tube with _block and _own: rows of the `before` frames before a block and the `after` frames after it come to
+    the block too, not _own. What looks no further than that needs no join with other blocks."""
+    if block < 1:
+        raise ValueError("block must be at least 1")
+    number = lambda f: F.floor(f / block).cast("long")
+    blocks = F.sequence(number(F.col("frame") - after), number(F.col("frame") + before))
+    return tube.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == number(F.col("frame")))
 
 
-def _fill_gaps(tube: DataFrame, max_gap: int) -> DataFrame:
-    row = ["frame", *COORDS, "score"]
-    rows = tube.select(*KEYS, *row)
-    heads = rows.groupBy(*KEYS).agg(F.min(F.struct(*row)).alias("_head")).select(*KEYS, F.lead("_head").over(over_blocks()).alias("_next"))
-    follows = F.coalesce(F.lead(F.struct(*row)).over(in_block()), F.col("_next"))
-    steps = rows.join(heads, KEYS, "left").withColumn("_after", follows)
+def fill_gaps(tube: DataFrame, max_gap: int = 3, block: int = BLOCK) -> DataFrame:
+    """(video_id, frame, box, score) with inner gaps of 1 to max_gap frames filled by straight lines; a filled
+    frame's score is the mean of its neighbours'. A block sees max_gap + 1 frames more, as far as a gap can reach."""
+    steps = with_halo(tube.select("video_id", "frame", *COORDS, "score"), 0, max(max_gap, 0) + 1, block)
+    steps = steps.withColumn("_after", F.lead(F.struct("frame", *COORDS, "score")).over(in_block())).where("_own")
     gap = F.col("_after.frame") - F.col("frame") - 1
     steps = steps.withColumn("_gap", F.when(gap.between(1, max_gap), gap).otherwise(0)).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_gap").cast("int"))))
     t = F.col("_j") / (F.col("_gap") + 1)
@@ -133,15 +133,20 @@ def segments(tube: DataFrame, block: int = BLOCK) -> DataFrame:
     edges = pieces.withColumn("total", total).groupBy(*KEYS).agg(F.min(F.struct("number", "total")).alias("_a"), F.max(F.struct("number", "total")).alias("_z"))
     number = F.col("_a.number") + F.col("_run") - 1
     length = F.when(number == F.col("_a.number"), F.col("_a.total")).when(number == F.col("_z.number"), F.col("_z.total")).otherwise(F.col("_len"))
-    return runs.join(edges, KEYS).select(*tube.columns, length.cast("int").alias("segment_len"), number.cast("int").alias("segment"))
+    return runs.join(edges, KEYS, "left").select(*tube.columns, length.cast("int").alias("segment_len"), number.cast("int").alias("segment"))
 
 
-def drop_short(tube: DataFrame, min_length: int = 2) -> DataFrame:
-    return segments(tube).where(F.col("segment_len") >= min_length)
+def drop_short(tube: DataFrame, min_length: int = 2, block: int = BLOCK) -> DataFrame:
+    """The rows of runs of at least min_length frames. A block sees min_length - 1 frames more on both sides: of a longer
+    run that much is there, a shorter one is there whole."""
+    far = max(min_length, 1) - 1
+    runs = with_halo(tube, far, far, block).withColumn("_island", F.col("frame") - F.row_number().over(in_block()))
+    long = runs.withColumn("_len", F.count("*").over(Window.partitionBy(*KEYS, "_island"))).where(F.col("_own") & (F.col("_len") >= min_length))
+    return long.select(*tube.columns)
 
 
 def final_tube(tracks: DataFrame, alpha: float | None = 0.6, max_gap: int = 3, min_length: int = 2) -> DataFrame:
     """Present boxes, smoothed (alpha None: not), gaps filled, short segments dropped, in this order."""
-    tube = blocked(tracks.where(F.col("x1").isNotNull()), BLOCK)
-    tube = tube if alpha is None else _ema(tube, alpha)
-    return drop_short(_fill_gaps(tube, max_gap), min_length).drop("segment", "segment_len")
+    tube = tracks.where(F.col("x1").isNotNull())
+    tube = tube if alpha is None else ema(tube, alpha)
+    return drop_short(fill_gaps(tube, max_gap), min_length)
