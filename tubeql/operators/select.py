@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from ..functions.box import COORDS, box, iou
+from .shared import settle
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], n: int | None) -> DataFrame:
@@ -45,7 +48,51 @@ def nms(df: DataFrame, keys: list[str], by: str, threshold: float, tie: str) ->
 
 
 def overlapping_pairs(df: DataFrame, keys: list[str], tie: str, threshold: float) -> DataFrame:
-    """Pairs of one key's boxes whose IoU exceeds threshold."""
-    other = df.select(*keys, F.col(tie).alias("other_id"), *[F.col(c).alias("o_" + c) for c in COORDS])
-    pairs = df.select(*keys, tie, *COORDS).join(other, keys).where(F.col(tie) < F.col("other_id"))
-    return pairs.withColumn("iou", iou(box(), box("o_"))).where(F.col("iou") > threshold).select(*keys, tie, "other_id", "iou")
+    """Pairs of one key's boxes whose IoU exceeds threshold, which must be above 0."""
+    pairs = _met(df, keys, tie, threshold, [])
+    return pairs.select(*keys, F.least(tie, "o_" + tie).alias(tie), F.greatest(tie, "o_" + tie).alias("other_id"), "iou")
+
+
+def _met(df: DataFrame, keys: list[str], tie: str, threshold: float, extra: list[str]) -> DataFrame:
+    """Each pair once: (keys, tie, extra and the same with o_, iou), found on grids, so that distant boxes don't meet.
+
+    A box belongs to the grid whose cells are as long as its longer side, rounded up to a power of two, so it touches at
+    most four of them. Longer sides of a pair differ by less than 1 / threshold: it meets in the grid of the larger
+    box, where the smaller one comes as a visitor, and counts in the cell that holds the overlap's first corner.
+    """
+    if threshold <= 0:
+        raise ValueError("threshold must be above 0")
+    level = F.ceil(F.log2(F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))).cast("int")
+    # One level more than the ratio asks for: a logarithm may round up.
+    up = math.ceil(math.log2(1 / threshold)) + 1 if threshold < 1 else 1
+    number = lambda c, lv: F.floor(c / F.pow(F.lit(2.0), lv))
+    span = lambda axis, lv: F.sequence(number(F.col(axis + "1"), lv), number(F.col(axis + "2"), lv))
+    cells = lambda lv: F.flatten(F.transform(span("x", lv), lambda x: F.transform(span("y", lv), lambda y: F.struct(lv.alias("_level"), x.alias("_cx"), y.alias("_cy")))))
+    boxes = df.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))).withColumn("_own", level)
+    at_home = boxes.select(*keys, tie, *extra, *COORDS, F.inline(cells(F.col("_own"))))
+    visits = F.flatten(F.transform(F.sequence(F.col("_own"), F.col("_own") + up), cells))
+    visitors = boxes.select(*keys, *[F.col(c).alias("o_" + c) for c in (tie, *extra, *COORDS)], F.col("_own").alias("_from"), F.inline(visits))
+    one = (F.col("_from") < F.col("_level")) | ((F.col("_from") == F.col("_level")) & (F.col(tie) < F.col("o_" + tie)))
+    corner = [number(F.greatest(a + "1", f"o_{a}1"), F.col("_level")) == F.col("_c" + a) for a in "xy"]
+    pairs = at_home.join(visitors, [*keys, "_level", "_cx", "_cy"]).where(one & corner[0] & corner[1])
+    return pairs.withColumn("iou", iou(box(), box("o_"))).where(F.col("iou") > threshold)
+
+
+def nms_dense(df: DataFrame, keys: list[str], by: str, threshold: float, tie: str) -> DataFrame:
+    """nms() for keys of any number of boxes: the same rows, without holding a key's boxes together.
+
+    Only overlapping pairs matter. Each round keeps what no undecided better box overlaps and drops what that overlaps;
+    rounds end when no pair is undecided, after at most as many as the longest chain of ever worse overlapping boxes.
+    """
+    node = lambda c: F.struct(*keys, F.col(c).alias(tie))
+    better = (F.col(by) > F.col("o_" + by)) | ((F.col(by) == F.col("o_" + by)) & (F.col(tie) < F.col("o_" + tie)))
+    pairs = _met(df, keys, tie, threshold, [by])
+    undecided = settle(pairs.select(F.when(better, node(tie)).otherwise(node("o_" + tie)).alias("good"), F.when(better, node("o_" + tie)).otherwise(node(tie)).alias("bad")))
+    gone = None
+    while not undecided.isEmpty():
+        sure = undecided.select("good").distinct().join(undecided.select(F.col("bad").alias("good")).distinct(), "good", "left_anti")
+        dropped = settle(undecided.join(sure, "good", "left_semi").select("bad").distinct())
+        gone = dropped if gone is None else gone.unionByName(dropped)
+        undecided = settle(undecided.join(dropped.select(F.col("bad").alias("good")), "good", "left_anti").join(dropped, "bad", "left_anti"))
+    kept = df if gone is None else df.join(gone.select("bad.*"), [*keys, tie], "left_anti")
+    return kept.withColumn("_nms_rank", F.row_number().over(W.Window.partitionBy(*keys).orderBy(F.col(by).desc(), F.col(tie))))

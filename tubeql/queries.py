@@ -213,6 +213,12 @@ def nms(spark, sf):
     return select.nms(fx.cand(spark, sf), KEYS, "score", 0.5, "cand_id").select(*KEYS, "cand_id", F.col("_nms_rank").alias("nms_rank"))
 
 
+@query(with_views(snms("cand", "k", "video_id", "score", 0.3) + " SELECT video_id, cand_id, CAST(nms_rank AS INTEGER) AS nms_rank FROM k", "cand", recursive=True))
+def nms_dense(spark, sf):
+    """All boxes of a video as one crowded frame."""
+    return select.nms_dense(fx.cand(spark, sf), ["video_id"], "score", 0.3, "cand_id").select("video_id", "cand_id", F.col("_nms_rank").alias("nms_rank"))
+
+
 @query(with_views(f"SELECT a.video_id, a.frame, a.cand_id, b.cand_id AS other_id, round({siou('a.', 'b.')}, 6) AS iou FROM cand a JOIN cand b ON a.video_id = b.video_id AND a.frame = b.frame AND a.cand_id < b.cand_id WHERE {siou('a.', 'b.')} > 0.3", "cand"))
 def iou_pairs(spark, sf):
     return select.overlapping_pairs(fx.cand(spark, sf), KEYS, "cand_id", 0.3).withColumns({"iou": F.round("iou", 6)})
@@ -443,6 +449,19 @@ def dense_blobs(spark, sf):
     return found.select("tile", *B, "n_patches", *r6("score"))
 
 
+@query("""WITH RECURSIVE c AS (SELECT CAST(event_id % 256 AS BIGINT) AS gx, CAST(event_id // 256 AS BIGINT) AS gy, value / 500 AS sim, event_id AS id FROM events WHERE value / 500 >= 0.3),
+  d AS (SELECT unnest([{'x': 1, 'y': 0}, {'x': -1, 'y': 0}, {'x': 0, 'y': 1}, {'x': 0, 'y': -1}, {'x': 1, 'y': 1}, {'x': -1, 'y': -1}, {'x': 1, 'y': -1}, {'x': -1, 'y': 1}]) AS s),
+  e AS (SELECT a.id AS a, b.id AS b FROM (SELECT id, gx + s.x AS gx, gy + s.y AS gy FROM c, d) a JOIN c b USING (gx, gy)),
+  reach AS (SELECT id AS a, id AS b FROM c UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
+  lab AS (SELECT a AS id, min(b) AS blob FROM reach GROUP BY a)
+  SELECT blob // 256 AS first_gy, blob % 256 AS first_gx, min(gx) AS gx1, min(gy) AS gy1, max(gx) AS gx2, max(gy) AS gy2, count(*) AS n_patches, round(max(sim), 6) AS score FROM c JOIN lab USING (id) GROUP BY blob HAVING count(*) >= 2""")
+def blobs_across_tiles(spark, sf):
+    """The events as one image of 256 columns, labelled in tiles of 32 x 32 cells."""
+    grid = fx.read(spark, sf, "events").select(F.lit(0).alias("image"), (F.col("event_id") % 256).alias("gx"), F.expr("event_id div 256").alias("gy"), (F.col("value") / 500).alias("sim"))
+    found = blobs.blobs_tiled(grid, ["image"], 0.3, side=32)
+    return found.select(F.col("blob.gy").alias("first_gy"), F.col("blob.gx").alias("first_gx"), "gx1", "gy1", "gx2", "gy2", "n_patches", F.round("max_sim", 6).alias("score"))
+
+
 # ---- tubes ------------------------------------------------------------------------------------------------------
 
 _EMA = "ema AS (SELECT video_id, frame, score, " + ", ".join(f"list_reduce(list({c}) OVER w, lambda s, x: 0.4 * s + 0.6 * x) AS {c}" for c in B) + " FROM {} WINDOW w AS (PARTITION BY video_id ORDER BY frame ROWS UNBOUNDED PRECEDING))"
