@@ -81,7 +81,7 @@ def _met(df: DataFrame, keys: list[str], tie: str, threshold: float, extra: list
 def nms_dense(df: DataFrame, keys: list[str], by: str, threshold: float, tie: str) -> DataFrame:
     """nms() for keys of any number of boxes: the same rows, without holding a key's boxes together.
 
-    Only overlapping pairs matter. Each round keeps what no undecided better box overlaps and drops what that overlaps;
+    Only overlapping pairs matter, and the cost is in proportion to them. Each round keeps what no undecided better box overlaps and drops what that overlaps;
     rounds end when no pair is undecided, after at most as many as the longest chain of ever worse overlapping boxes.
     """
     node = lambda c: F.struct(*keys, F.col(c).alias(tie))

@@ -213,10 +213,11 @@ def nms(spark, sf):
     return select.nms(fx.cand(spark, sf), KEYS, "score", 0.5, "cand_id").select(*KEYS, "cand_id", F.col("_nms_rank").alias("nms_rank"))
 
 
-@query(with_views(snms("cand", "k", "video_id", "score", 0.3) + " SELECT video_id, cand_id, CAST(nms_rank AS INTEGER) AS nms_rank FROM k", "cand", recursive=True))
+@query(with_views("days AS (SELECT *, frame // 24 AS day FROM cand)," + snms("days", "k", "video_id, day", "score", 0.3) + " SELECT video_id, day, cand_id, CAST(nms_rank AS INTEGER) AS nms_rank FROM k", "cand", recursive=True))
 def nms_dense(spark, sf):
-    """All boxes of a video as one crowded frame."""
-    return select.nms_dense(fx.cand(spark, sf), ["video_id"], "score", 0.3, "cand_id").select("video_id", "cand_id", F.col("_nms_rank").alias("nms_rank"))
+    """All boxes of 24 frames as one crowded frame."""
+    days = fx.cand(spark, sf).withColumn("day", F.floor(F.col("frame") / 24).cast("int"))
+    return select.nms_dense(days, ["video_id", "day"], "score", 0.3, "cand_id").select("video_id", "day", "cand_id", F.col("_nms_rank").alias("nms_rank"))
 
 
 @query(with_views(f"SELECT a.video_id, a.frame, a.cand_id, b.cand_id AS other_id, round({siou('a.', 'b.')}, 6) AS iou FROM cand a JOIN cand b ON a.video_id = b.video_id AND a.frame = b.frame AND a.cand_id < b.cand_id WHERE {siou('a.', 'b.')} > 0.3", "cand"))
