@@ -214,3 +214,26 @@ def test_one_long_video_is_many_tasks(spark):
         finally:
             spark.conf.unset("spark.sql.adaptive.enabled")
         assert sum(sizes) == 100_000 and max(sizes) < 50_000
+
+
+def test_axis_of_many_vectors_is_that_of_an_svd(spark):
+    import numpy as np
+    from tubeql.operators import pca
+
+    rng = np.random.default_rng(5)
+    data = {k: rng.normal(size=(n, 6)) * [5, 1, 1, 2, 1, 1] + n for k, n in (("a", 900), ("b", 4), ("c", 1), (None, 40))}
+    data["d"] = np.ones((7, 6)) * 3
+    rows = [(k, row.tolist()) for k, x in data.items() for row in x] + [("a", None)]
+    df = spark.createDataFrame(rows, "k string, v array<double>").repartition(5)
+    for held in (pca.HELD, 50):  # once with many flushes
+        got = {r.k: r for r in pca.principal_axis(df, ["k"], "v", held).collect()}
+        assert set(got) == set(data)
+        for k, x in data.items():
+            assert got[k].n == len(x)
+            if k in ("c", "d"):
+                assert (got[k].vec, got[k].explained) == ([1.0, 0, 0, 0, 0, 0], None)
+                continue
+            _, s, vt = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)
+            want = vt[0] * np.sign(vt[0][np.abs(vt[0]).argmax()])
+            assert np.allclose(got[k].vec, want, atol=1e-9) and abs(got[k].explained - s[0] ** 2 / (s**2).sum()) < 1e-9
+    assert pca.principal_axis(df.limit(0), ["k"], "v").count() == 0

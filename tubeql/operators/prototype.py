@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..functions.box import center_box
+from .pca import principal_axis
 
 FUSIONS = ("mean", "max", "pca")
 
@@ -42,16 +43,7 @@ def fuse(refs: DataFrame, fusion: str = "mean", normalize: bool = True) -> DataF
     elif fusion == "max":
         out = vec.elementwise(refs, ["video_id"], "feature", "vec", "max")
     elif fusion == "pca":
-
-        def axis(rows: pd.DataFrame) -> pd.DataFrame:
-            # A video has a few references; the sign is fixed by the largest component.
-            x = np.stack(rows.sort_values("ref_id")["feature"].to_numpy())
-            first = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][0]
-            first = first * np.sign(first[np.abs(first).argmax()])
-            return pd.DataFrame({"video_id": [rows["video_id"].iloc[0]], "vec": [first.tolist()]})
-
-        kind = dict(refs.dtypes)["video_id"]
-        out = refs.select("video_id", "ref_id", "feature").groupBy("video_id").applyInPandas(axis, f"video_id {kind}, vec array<double>")
+        out = principal_axis(refs, ["video_id"], "feature").select("video_id", "vec")
     else:
         raise ValueError(f"fusion {fusion!r} is not one of {FUSIONS}")
     return out.withColumn("vec", vec.normalize(F.col("vec"))) if normalize else out

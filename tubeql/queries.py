@@ -12,7 +12,7 @@ from .fixtures import with_views
 from .functions import vec
 from .functions import box as bx
 from .functions import mask as mk
-from .operators import blobs, evaluate, match, prototype, raster, select, tiles, track, tube
+from .operators import blobs, evaluate, match, pca, prototype, raster, select, tiles, track, tube
 from .operators.shared import settle, shared_path
 from .plans import composite, models
 from .plans.config import Config
@@ -293,11 +293,37 @@ def prototype_max(spark, sf):
     return exploded(prototype.fuse(prototype.ref_means(fx.refs(spark, sf)), "max"), ["video_id"], "vec")
 
 
-@query()
+#: The first axis in SQL: the references' Gram matrix about their mean, squared until one direction is left.
+_AXIS = (
+    _REF_MEAN
+    + """, mid AS (SELECT *, x - avg(x) OVER (PARTITION BY video_id, pos) AS c FROM rm),
+    dots AS (SELECT a.video_id, a.ref_id AS i, list(a.d ORDER BY a.j) AS row FROM (SELECT a.video_id, a.ref_id, b.ref_id AS j, sum(a.c * b.c) AS d FROM mid a JOIN mid b USING (video_id, pos) GROUP BY ALL) a GROUP BY ALL),
+    g AS (SELECT video_id, list(row ORDER BY i) AS g, sum(row[i + 1]) AS trace FROM dots GROUP BY video_id),
+    pow AS (SELECT video_id, 0 AS k, list_transform(g, lambda r: list_transform(r, lambda v: v / trace)) AS m FROM g UNION ALL
+      SELECT video_id, k + 1, list_transform(q, lambda r: list_transform(r, lambda v: v / list_max(list_transform(q, lambda s: list_max(list_transform(s, lambda t: abs(t))))))) FROM
+      (SELECT video_id, k, list_transform(m, lambda r: list_transform(m, lambda s: list_dot_product(r, s))) AS q FROM pow WHERE k < 24)),
+    top AS (SELECT video_id, list_transform(m, lambda r: r[big]) AS u FROM (SELECT *, list_position(list_transform(range(1, len(m) + 1), lambda i: m[i][i]), list_max(list_transform(range(1, len(m) + 1), lambda i: m[i][i]))) AS big FROM pow WHERE k = 24)),
+    ax AS (SELECT video_id, pos, sum(c * u[ref_id + 1]) AS x FROM mid JOIN top USING (video_id) GROUP BY ALL),
+    sized AS (SELECT video_id, sqrt(sum(x * x)) * sign(arg_max(x, abs(x))) AS n FROM ax GROUP BY video_id)"""
+)
+
+
+@query(with_views(_AXIS + " SELECT video_id, CAST(pos AS INTEGER) AS pos, round(x / n, 6) AS value FROM ax JOIN sized USING (video_id)", "refs", recursive=True))
 def prototype_pca(spark, sf):
     return exploded(prototype.fuse(prototype.ref_means(fx.refs(spark, sf)), "pca"), ["video_id"], "vec")
 
 
+@query(with_views("""p AS (SELECT label, pos, x - avg(x) OVER (PARTITION BY label, pos) AS c FROM (SELECT label, vec_id, unnest(feature) AS x, generate_subscripts(feature, 1) AS pos FROM emb)),
+    mom AS (SELECT label, pos, sum(c * c) AS s, count(*) AS n FROM p GROUP BY ALL) SELECT label, any_value(n) AS n, round(sum(s), 6) AS total FROM mom GROUP BY label""", "emb"))
+def axis_of_label(spark, sf):
+    """Each label's axis over all its embeddings, checked by the variance it must stand for: total = along / explained."""
+    e = fx.embeddings(spark, sf)
+    a = pca.principal_axis(e, ["label"], "feature")
+    mean = vec.elementwise(e, ["label"], "feature", "_mean")
+    off = e.join(F.broadcast(a.join(mean, "label")), "label").withColumn("_t", vec.dot(F.zip_with("feature", "_mean", lambda x, y: x - y), F.col("vec")))
+    return off.groupBy("label", "n").agg(F.round(F.sum(F.col("_t") * F.col("_t")) / F.first("explained"), 6).alias("total"))
+
+
 def _proto(spark, sf):
     return prototype.fuse(prototype.ref_means(fx.refs(spark, sf)))
 
@@ -738,6 +764,15 @@ def gather_documents(spark, sf):
     return submissions.tubes(submissions.parse(both)).select(*KEYS, "x1")
 
 
+@query(with_views("SELECT CAST(video_id AS VARCHAR) AS video_id, frame, CAST(round_even(x1, 0) AS INTEGER) AS x1, CAST(round_even(y2, 0) AS INTEGER) AS y2 FROM pred", "pred"))
+def submission_scan(spark, sf):
+    """Files of arrays, each read in ranges of 8 KB: borders of elements are found wherever a range begins."""
+    path = shared_path(spark, "submissions")
+    submissions.write(fx.pred(spark, sf), path)
+    found = submissions.last_tubes(submissions.scan(spark, path, range_bytes=1 << 13))
+    return found.select(*KEYS, F.col("x1").cast("int").alias("x1"), F.col("y2").cast("int").alias("y2"))
+
+
 @query()
 def propose_and_embed(spark, sf):
     """Stub models over keyframes: proposals, then features of their crops."""

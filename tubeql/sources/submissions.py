@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.box import COORDS, box, rounded
+from . import arrays
 
 NESTED = "array<struct<video_id:string,annotations:array<struct<bboxes:array<struct<frame:int,x1:double,y1:double,x2:double,y2:double>>>>>>"
 ITEM = NESTED[6:-1]
@@ -17,10 +18,20 @@ def parse(texts: DataFrame, text: str = "value", order: str | None = None) -> Da
     doc orders the texts: the column `order`, or the text itself.
     """
     doc = F.col(order) if order else F.col(text)
-    entries = texts.select(doc.alias("doc"), F.posexplode(F.from_json(text, NESTED)).alias("entry", "e"))
+    return boxes(texts.select(doc.alias("doc"), F.posexplode(F.from_json(text, NESTED)).alias("entry", "e")))
+
+
+def scan(spark: SparkSession, *paths: str, range_bytes: int = arrays.RANGE) -> DataFrame:
+    """(doc, entry, e): the videos' entries of files, by the place they have in them; a file is read by many tasks."""
+    found = arrays.elements(spark, *paths, range_bytes=range_bytes)
+    return found.select(F.col("path").alias("doc"), F.col("place").alias("entry"), F.from_json("value", ITEM).alias("e"))
+
+
+def boxes(entries: DataFrame) -> DataFrame:
+    """All boxes of entries, with their places."""
     notes = entries.select("doc", "entry", F.col("e.video_id").alias("video_id"), F.posexplode_outer("e.annotations").alias("annotation", "a"))
-    boxes = notes.select("doc", "entry", "annotation", "video_id", F.posexplode_outer("a.bboxes").alias("item", "b"))
-    return boxes.select("doc", "entry", "annotation", "item", "video_id", "b.*")
+    own = notes.select("doc", "entry", "annotation", "video_id", F.posexplode_outer("a.bboxes").alias("item", "b"))
+    return own.select("doc", "entry", "annotation", "item", "video_id", "b.*")
 
 
 def _last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -35,6 +46,13 @@ def tubes(parsed: DataFrame) -> DataFrame:
     return _last(own, ["video_id", "frame"], ["annotation", "item"])
 
 
+def last_tubes(entries: DataFrame) -> DataFrame:
+    """As tubes(), of scan(): the last entry of a video is kept whole before it is taken apart, so that it is read once."""
+    last = entries.where(F.col("e.video_id").isNotNull()).groupBy(F.col("e.video_id")).agg(F.max_by(F.struct("doc", "entry", "e"), F.struct("doc", "entry")).alias("_l"))
+    own = boxes(last.select("_l.*")).where(F.col("frame").isNotNull())
+    return _last(own.drop("doc", "entry"), ["video_id", "frame"], ["annotation", "item"])
+
+
 def one_video(parsed: DataFrame, video_id: str) -> DataFrame:
     """(frame, box) of the first entry of a video; of a frame's boxes the last counts. An error if there is no entry."""
     own = parsed.where(F.col("video_id") == video_id)
@@ -49,10 +67,9 @@ def video_ids(parsed: DataFrame) -> DataFrame:
     return parsed.select("doc", "entry", "video_id").distinct().select("video_id")
 
 
-def read(spark: SparkSession, *paths: str) -> DataFrame:
-    """parse() of whole files, in order of their paths."""
-    texts = spark.read.text(list(paths), wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    return parse(texts, order="path")
+def read(spark: SparkSession, *paths: str, range_bytes: int = arrays.RANGE) -> DataFrame:
+    """parse() of files, in order of their paths."""
+    return boxes(scan(spark, *paths, range_bytes=range_bytes))
 
 
 def rows(tube: DataFrame) -> DataFrame:
@@ -73,7 +90,7 @@ def upsert(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def write(tube: DataFrame, path: str) -> None:
-    """Entries as JSON lines, a file a partition; read() takes arrays, so each line is an array of one entry."""
+    """Entries as JSON lines, a file a partition; each line is an array of one entry."""
     documents(tube).select(F.concat(F.lit("["), "entry", F.lit("]")).alias("value")).write.mode("overwrite").text(path)
 
 
