@@ -180,6 +180,79 @@ def test_tracking_without_tracker_detects_on_every_frame(spark, inputs, tmp_path
     assert {r.source for r in models.tracks(frames, none, none.selectExpr("video_id", "score AS threshold"), protos, strict).collect()} == {"none"}
 
 
+class CropFeatures:
+    """A unit vector that turns with the left and top side of the crop that the payload describes."""
+
+    dim = 3
+
+    def extract(self, payloads):
+        import json
+
+        import numpy as np
+
+        out = []
+        for p in payloads:
+            b = json.loads(bytes(p)[bytes(p).index(b"{") :])["box"]
+            out.append([np.cos(b["x1"] / 150), np.sin(b["x1"] / 150), np.cos(b["y2"] / 90)])
+        return np.array(out) / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def found_again(video, frame, payload, size, tiled, vecs, threshold):
+    """Plain Python: the best of a frame's boxes, or None."""
+    import json
+
+    import numpy as np
+
+    model, boxes = plugins.StubProposals(), []
+    if tiled:
+        starts = lambda side: [0] if side <= 640 else sorted({min(480 * i, side - 640) for i in range(-(-(side - 640) // 480) + 1)})
+        for y in starts(size[1]):
+            for x in starts(size[0]):
+                t = {"tx1": x, "ty1": y, "tx2": min(x + 640, size[0]), "ty2": min(y + 640, size[1])}
+                spec = json.dumps({"kind": "tile", "scale": 1.0, "tile": t}).replace(" ", "")
+                boxes += [(a + x, b + y, c + x, d + y, s) for a, b, c, d, s in model.propose(payload + spec.encode(), t["tx2"] - x, t["ty2"] - y)]
+        kept = []
+        for b in sorted(boxes, key=lambda b: -b[4]):
+            area = lambda q: (q[2] - q[0]) * (q[3] - q[1])
+            meet = lambda q: max(0, min(b[2], q[2]) - max(b[0], q[0])) * max(0, min(b[3], q[3]) - max(b[1], q[1]))
+            if all(meet(k) / (area(b) + area(k) - meet(k)) <= 0.5 for k in kept):
+                kept.append(b)
+        boxes = kept
+    else:
+        boxes = model.propose(payload + b'{"kind":"frame","scale":1.0}', *size)
+    boxes = [b[:4] for b in boxes if (b[2] - b[0]) * (b[3] - b[1]) >= 9_000][:4]
+    best = None
+    for b in boxes:
+        px, py = 0.2 * (b[2] - b[0]), 0.2 * (b[3] - b[1])
+        crop = {"x1": max(0, int(b[0] - px)), "y1": max(0, int(b[1] - py)), "x2": min(size[0], int(b[2] + px)), "y2": min(size[1], int(b[3] + py))}
+        sim = float(np.mean([CropFeatures().extract([b"" + json.dumps({"box": crop}).encode()])[0] @ np.array(v) for v in vecs]))
+        if best is None or sim > best[0]:
+            best = (sim, b)
+    return best[1] if best and best[0] >= threshold else None
+
+
+@pytest.mark.parametrize("tiled,multi", [(True, False), (True, True), (False, False)])
+def test_what_is_found_again_equals_plain_python(spark, tmp_path, tiled, multi):
+    plugins.register("features", "crop", CropFeatures)
+    size = (1500, 700)
+    shots = [(v, f, bytes([ord(v), f]), *size) for v in "abc" for f in range(12)]
+    frames = spark.createDataFrame(shots, "video_id string, frame int, payload binary, width int, height int")
+    config = settings(tmp_path, "candidates.features=crop", "tracking.tracker=none", f"candidates.tiled={str(tiled).lower()}", "candidates.min_box_area=9000", "candidates.max_per_keyframe=4", "candidates.crop_pad=0.2", f"matching.multi_reference={str(multi).lower()}")
+    own = {"a": [[0.6, 0.0, 0.8]], "b": [[0.0, 1.0, 0.0]]}  # c has no vector: nothing is found again
+    lists = {v: [*x, [0.0, 0.6, 0.8]] for v, x in own.items()}
+    protos = spark.createDataFrame([(v, x[0]) for v, x in own.items()], "video_id string, vec array<double>")
+    refs = spark.createDataFrame([(v, r, f) for v, x in lists.items() for r, f in enumerate(x)], "video_id string, ref_id int, feature array<double>")
+    none = spark.createDataFrame([], "video_id string, frame int, det_rank int, x1 double, y1 double, x2 double, y2 double, score double")
+    bars = spark.createDataFrame([("a", 0.4)], "video_id string, threshold double")
+    got = {(r.video_id, r.frame): (r.source, tuple(r)[2:6]) for r in models.tracks(frames, none, bars, protos, config, refs).collect()}
+    assert len(got) == len(shots)
+    for v, f, payload, *_ in shots:
+        used = (lists if multi else own).get(v)
+        want = used and found_again(v, f, payload, size, tiled, used, 0.4 if v == "a" else 0.3)
+        assert got[v, f] == (("detect", pytest.approx(want)) if want else ("none", (None,) * 4))
+    assert 0 < sum(s == "detect" for s, _ in got.values()) < 24
+
+
 def test_report_is_sorted_and_ends_with_the_mean(spark):
     rows = spark.createDataFrame([("b", 0.5), ("a", 0.25)], "video_id string, st_iou double")
     assert [r.line for r in models.report(rows).collect()] == ["a: 0.2500", "b: 0.5000", "mean ST-IoU: 0.3750 over 2"]

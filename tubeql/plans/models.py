@@ -6,6 +6,7 @@ warp (JSON), which the `pixels` plug-in turns into a payload of its own.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,29 +105,73 @@ def candidates(frames: DataFrame, protos: DataFrame, config: Config) -> DataFram
     return plugins.embed(plugins.render(crops.withColumn("spec", spec).drop("width", "height"), config.project.pixels), c.features)
 
 
+def suppressed(boxes: list[tuple], limit: float) -> list[tuple]:
+    """One frame's boxes, best first, without those that overlap a better one by more than limit; ties in their order."""
+    order = sorted(boxes, key=lambda b: -b[4])
+    x1, y1, x2, y2, _ = np.array(order, dtype=float).reshape(-1, 5).T
+    size, left = np.maximum(x2 - x1, 0) * np.maximum(y2 - y1, 0), np.ones(len(order), dtype=bool)
+    for i in range(len(order)):
+        if left[i]:
+            meet = np.maximum(np.minimum(x2, x2[i]) - np.maximum(x1, x1[i]), 0) * np.maximum(np.minimum(y2, y2[i]) - np.maximum(y1, y1[i]), 0)
+            union = size + size[i] - meet
+            left[i + 1 :] &= ~(meet > limit * union)[i + 1 :]
+    return [b for b, stays in zip(order, left) if stays]
+
+
 class FrameRow:
     """One frame for the state machine; what a model has to tell is asked only when it is needed."""
 
     def __init__(self, row: dict, models: dict, rules: track.Rules, config: Config):
         self.row, self.models, self.rules, self.config, self.known = row, models, rules, config, {}
 
-    def similarity(self, sides) -> float:
-        rect = [max(0, int(sides[0])), max(0, int(sides[1])), min(self.row["width"], int(sides[2])), min(self.row["height"], int(sides[3]))]
-        view = self.models["pixels"].view(self.row["payload"], '{"kind":"crop","box":' + str(rect) + "}")
-        a, b = np.asarray(self.models["features"].extract([view])[0], dtype=float), np.asarray(self.row["vec"], dtype=float)
+    def view(self, kind: str, **fields) -> bytes:
+        """Of the frame, described as described() does."""
+        return self.models["pixels"].view(self.row["payload"], json.dumps({"kind": kind, **fields}, separators=(",", ":")))
+
+    def crop(self, sides) -> bytes:
+        """A box's padded crop, as crop_rect() has it."""
+        x1, y1, x2, y2 = sides
+        px, py = (x2 - x1) * self.config.candidates.crop_pad, (y2 - y1) * self.config.candidates.crop_pad
+        low, high = (max(0, int(x1 - px)), max(0, int(y1 - py))), (min(self.row["width"], int(x2 + px)), min(self.row["height"], int(y2 + py)))
+        return self.view("crop", box=dict(zip(COORDS, map(int, (*low, *high)))))
+
+    def similarities(self, boxes: list) -> np.ndarray | None:
+        """Of the boxes' crops, embedded in one call, with the prototype, or the mean over the references; None without these."""
+        vecs = self.row["vecs"]
+        if vecs is None:
+            return None
+        a, b = np.asarray(self.models["features"].extract([self.crop(x) for x in boxes]), dtype=float), np.stack([np.asarray(v, dtype=float) for v in vecs])
         how = self.config.matching.similarity
-        return float(a @ b) if how == "cosine" else -float(np.sqrt(((a - b) ** 2).sum()) if how == "l2" else np.abs(a - b).sum())
+        if how == "cosine":
+            return (a @ b.T).mean(axis=1)
+        apart = a[:, None, :] - b[None, :, :]
+        return -(np.sqrt((apart**2).sum(axis=2)) if how == "l2" else np.abs(apart).sum(axis=2)).mean(axis=1)
+
+    def proposed(self) -> list:
+        """The model's boxes of the frame, or of its tiles with the doubles suppressed; small ones go, the rest is capped."""
+        c, propose = self.config.candidates, self.models["proposals"].propose
+        if self.row["tiles"] is None:
+            found = propose(self.view("frame", scale=1.0), self.row["width"], self.row["height"])
+        else:
+            found = []
+            for t in self.row["tiles"]:
+                sides = {k: int(t[k]) for k in ("tx1", "ty1", "tx2", "ty2")}
+                x, y = sides["tx1"], sides["ty1"]
+                own = propose(self.view("tile", scale=1.0, tile=sides), sides["tx2"] - x, sides["ty2"] - y)
+                found += [(b[0] + x, b[1] + y, b[2] + x, b[3] + y, b[4]) for b in own]
+            found = suppressed(found, 0.5)
+        return [b[:4] for b in found if max(0, b[2] - b[0]) * max(0, b[3] - b[1]) >= c.min_box_area][: c.max_per_keyframe]
 
     def ask(self, what: str):
         if what == "trk":
             return self.models["tracker"].update(self.row["payload"])
         if what == "red":
-            found = self.models["proposals"].propose(self.row["payload"], self.row["width"], self.row["height"])
-            rated = [(self.similarity(b[:4]), -k, b[:4]) for k, b in enumerate(found[: self.config.candidates.max_per_keyframe])]
-            best = max(rated, default=None)
-            return None if best is None or best[0] < self.rules.threshold else best[2]
+            found = self.proposed()
+            sims = self.similarities(found) if found else None
+            return None if sims is None or sims.max() < self.rules.threshold else found[int(sims.argmax())]
         moved = self[("trk",)][0]
-        return None if moved is None else self.similarity(moved)
+        sims = None if moved is None else self.similarities([moved])
+        return None if sims is None else float(sims[0])
 
     def __getitem__(self, key):
         if isinstance(key, tuple):
@@ -142,16 +187,21 @@ class FrameRow:
         return None if sides is None else sides[COORDS.index(side)]
 
 
-def tracks(frames: DataFrame, detections: DataFrame, bars: DataFrame, protos: DataFrame, config: Config) -> DataFrame:
+def tracks(frames: DataFrame, detections: DataFrame, bars: DataFrame, protos: DataFrame, config: Config, refs: DataFrame | None = None) -> DataFrame:
     """Stage 4: every frame's box and source. Detections begin a track, the tracker carries it on, its crop is compared
     with the prototype every verify_interval frames, and a lost object is looked for on the frame itself.
 
-    bars: (video_id, threshold), protos: (video_id, vec); videos without a threshold take the fixed one.
+    bars: (video_id, threshold), protos: (video_id, vec); videos without a threshold take the fixed one. With
+    matching.multi_reference and refs (video_id, ref_id, feature) a crop's similarity is the mean over the references.
+    A video without a vector is detected and tracked by what there is, but nothing is found again on its frames.
     """
-    t, fixed = config.tracking, config.matching.match_threshold
+    c, t, fixed = config.candidates, config.tracking, config.matching.match_threshold
     best = detections.where("det_rank = 1").select(*KEYS, *[F.col(c).alias(f"det_{c}") for c in COORDS])
-    own = match.effective(frames, bars, fixed).join(protos.select("video_id", "vec"), "video_id")
-    rows = frames.select(*KEYS, "width", "height", "payload").join(best, KEYS, "left").join(own, "video_id")
+    multi = config.matching.multi_reference and refs is not None
+    vectors = match.ref_list(refs).select("video_id", "vecs") if multi else protos.select("video_id", F.array("vec").alias("vecs"))
+    own = match.effective(frames, bars, fixed).join(vectors, "video_id", "left")
+    parts = tiles.tiles(F.col("width"), F.col("height"), tuple(c.tile), c.overlap) if c.tiled else F.lit(None).cast("array<int>")
+    rows = frames.select(*KEYS, "width", "height", "payload", parts.alias("tiles")).join(best, KEYS, "left").join(own, "video_id")
     name = {"builtin": "constant", "none": "none"}.get(t.tracker, t.model_path)
     kind = dict(frames.dtypes)["video_id"]
     shared = [(k, n, plugins.maker(k, n)) for k, n in (("features", config.candidates.features), ("proposals", config.candidates.proposals), ("pixels", config.project.pixels))]

@@ -175,5 +175,5 @@ def run_models(spark: SparkSession, config: Config, images: DataFrame, frames: D
     cands = store.table("candidates", lambda: models.candidates(frames, protos, config), force["candidates"])
     dets, bars, refined = matched(store, cands, refs, {**force, "candidates": False})
     final = protos if config.matching.multi_reference else prototype.best_of(protos, refined.where("updated"))
-    tracks = store.table("tracks", lambda: models.scored_tracks(models.tracks(frames, dets, bars, final, config), dets), force["tracks"])
+    tracks = store.table("tracks", lambda: models.scored_tracks(models.tracks(frames, dets, bars, final, config, refs), dets), force["tracks"])
     return store.table("tube", lambda: composite.final(tracks, config), force["tube"])
