@@ -131,3 +131,20 @@ def test_buckets_of_a_hundred_terabytes(spark):
     far = {r.doc_id: r for r in quality.report(docs, labels, n_buckets=1 << 38).collect()}
     near = {r.doc_id: r for r in quality.report(docs, labels, n_buckets=1 << 22).collect()}
     assert {d: (r.kept, r.score) for d, r in far.items()} == {d: (r.kept, r.score) for d, r in near.items()}
+
+
+def test_joined_weights_in_parts(spark, sf, monkeypatch):
+    """Beyond MAX_DENSE what is shuffled is a row a slice and part, not a row an n-gram; scores are those of sent weights."""
+    from pyspark.sql import functions as F
+
+    for name, value in (("SPAN", 16), ("SALTS", 3), ("PACKED", 5000)):
+        monkeypatch.setattr(quality, name, value)
+    odd = [(-1, "again " * 700 + " ".join(f"w{i}" for i in range(50))), (-2, " ".join(f"v{i}" for i in range(20_000))), (-3, None), (-4, ""), (-2, " ".join(f"v{i}" for i in range(20_000)))]
+    docs = table(spark, sf, "documents").select("doc_id", "text").unionByName(spark.createDataFrame(odd, SCHEMA))
+    labels = table(spark, sf, "labels")
+    sent, joined = ({(r.doc_id, r.n_words): r for r in quality.report(docs, labels, n_buckets=1 << 20, most=most).collect()} for most in (quality.MAX_DENSE, 0))
+    assert sent.keys() == joined.keys() and all(abs(sent[k].score - joined[k].score) < 2e-6 for k in sent)
+    each = docs.select(F.lit(1).cast("long").alias("k1"), F.lit(2).cast("long").alias("k2"), quality.buckets(F.col("text"), 1 << 20).alias("b"))
+    cells = quality.packed(each.where("b IS NOT NULL"), 3)
+    n_grams, rows, slices = each.agg(F.sum(F.size("b"))).first()[0], cells.count(), cells.where("part < 0").count()
+    assert slices < 4 * (n_grams / 5000 + 4) and rows <= 17 * slices < n_grams / 20

@@ -6,7 +6,7 @@ size. Two smoothed multinomials over the buckets are counted: the raw corpus ove
 over every document labelled good. A document's score is the mean over its n-grams of log(target / raw), so length
 doesn't count; it is kept at THRESHOLD or more. Everything is DataFrame expressions: a document's n-grams are arrays
 inside its row, only the bucket counts are shuffled (combined before). Up to MAX_DENSE buckets the weights return as
-one scalar subquery; beyond, each document's buckets meet them in a salted join. The ids of trusted documents are
+one scalar subquery; beyond, documents' buckets are packed by parts of the buckets and meet a part's weights in a task. The ids of trusted documents are
 broadcast up to MAX_TRUSTED, and joined by shuffle beyond.
 
 Defined results
@@ -20,16 +20,25 @@ Defined results
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, checkpoint, numbered, row_key, skew_join
+from .common import SPACE_CLASS, batch, checkpoint, give_back, longs, numbered, row_key, skew_join
 
 LEAST_BUCKETS, CHARS_A_BUCKET = 1 << 20, 512
 #: Buckets whose weights are sent to all tasks at most (4 bytes each), and how many lie in one array.
 MAX_DENSE, CHUNK = 1 << 23, 1 << 16
+#: Beyond, tasks hold the weights of 2 ** SPAN buckets at once (16 to 24 bits), a part; a part is dealt to SALTS cells.
+SPAN, SALTS = 22, 16
+#: n-grams of a slice of documents that are packed together, if it isn't one document.
+PACKED = 1 << 20
+CELLS = "part long, salt int, is_row boolean, slice long, w array<struct<b:int,w:float>>, doc binary, low binary, high binary, times binary"
+CELL_NAMES = [x.split(" ")[0] for x in CELLS.split(", ")]
 #: Ids of trusted documents that are sent to all tasks at most.
 MAX_TRUSTED = 1_000_000
 #: Pseudo-count of a bucket in the raw corpus; it draws buckets that are seldom seen to a ratio of 1.
@@ -187,12 +196,103 @@ def rows_judged(rows: DataFrame, labels: DataFrame, text: str, doc_id: str, n_bu
     return by_join(rows, found, docs, n_buckets, whole, row_key(text, doc_id))
 
 
+def packed(each: DataFrame, salts: int) -> DataFrame:
+    """n-grams by the part of the buckets they are in; each: k1, k2, b (an array). CELLS has the columns.
+
+    The documents of a slice, PACKED n-grams or one document, give a row a part: which document of the slice (`doc`,
+    uint32), and each of its buckets once, as 16 low bits (`low`), the bits above (`high`, uint8) and how often (`times`,
+    uint8; a number beyond 255 takes several entries). A row of part -1 has the slice's keys and their numbers of n-grams.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done, where = 0, TaskContext.get().partitionId() << 32
+        for found in batches:
+            k1, k2, lists = longs(found.column(0)), longs(found.column(1)), found.column(2)
+            ends = np.append(0, np.cumsum(longs(lists.value_lengths())))
+            flat, start = longs(lists.flatten()), 0
+            while start < len(k1):
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + PACKED, "right")) - 1)
+                yield sliced(where + done, k1[start:stop], k2[start:stop], np.diff(ends[start : stop + 1]), flat[ends[start] : ends[stop]])
+                start, done = stop, done + 1
+        give_back()
+
+    def sliced(at: int, k1: np.ndarray, k2: np.ndarray, sizes: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        doc = np.repeat(np.arange(len(k1)), sizes)
+        order = np.lexsort((b, doc, b >> SPAN))
+        b, doc = b[order], doc[order]
+        first = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (doc[1:] != doc[:-1])))[: len(b)]
+        times, b, doc = np.diff(np.append(first, len(order))), b[first], doc[first]
+        again = -(-times // 255)  # a number beyond a byte is dealt over several entries
+        b, doc, times = np.repeat(b, again), np.repeat(doc, again), np.repeat(times, again)
+        last = np.cumsum(again) - 1
+        full = np.full(len(b), 255)
+        full[last] = (times[last] - 1) % 255 + 1
+        part, offset = b >> SPAN, b & ((1 << SPAN) - 1)
+        cut = np.flatnonzero(np.append(True, part[1:] != part[:-1]))[: len(b)]
+        runs = list(zip(cut, np.append(cut, len(b))[1:], strict=True))
+        spread = lambda x, kind: [x[i:j].astype(kind).tobytes() for i, j in runs]
+        n, salt = len(runs) + 1, (at * 0x9E3779B1 >> 16) % salts
+        keys = [np.stack([k1, k2, sizes]).astype("<i8").tobytes()]
+        parts = pa.array([-1, *part[cut]], pa.int64())
+        return batch(CELL_NAMES, parts, pa.array([salt] * n, pa.int32()), pa.array([True] * n), pa.array([at] * n, pa.int64()), pa.nulls(n, pa.list_(pa.struct([("b", pa.int32()), ("w", pa.float32())]))), pa.array(keys + spread(doc, "<u4"), pa.binary()), *[pa.array([None, *spread(*x)], pa.binary()) for x in ((offset & 0xFFFF, "<u2"), (offset >> 16, "u1"), (full, "u1"))])
+
+    return each.select("k1", "k2", "b").mapInArrow(run, CELLS)
+
+
+def summed(cells: DataFrame) -> DataFrame:
+    """(slice, doc, sums) of packed rows and the weights of their parts; a slice's keys come through as `keys`.
+
+    A task holds the weights of one part at a time, which come before the part's rows.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, w = None, np.zeros(1 << SPAN, np.float32)
+        for found in batches:
+            out = []
+            for part, salt, is_row, at, k, own in zip(*[found.column(i).to_pylist() for i in range(4)], range(found.num_rows), found.column(4), strict=True):
+                if part < 0:
+                    out.append((at, found.column(5)[k].as_py(), None, None))
+                    continue
+                if (part, salt) != held:
+                    held = part, salt
+                    w[:] = 0
+                if not is_row:
+                    w[own.values.field("b").to_numpy()] = own.values.field("w").to_numpy()
+                    continue
+                doc, low, high, times = (np.frombuffer(found.column(5 + i)[k].as_buffer(), kind) for i, kind in enumerate(("<u4", "<u2", "u1", "u1")))
+                each = w[low.astype(np.int32) | (high.astype(np.int32) << 16)].astype(np.float64) * times
+                cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+                out.append((at, None, doc[cut].tobytes(), np.add.reduceat(each, cut).astype("<f8").tobytes()))
+            yield batch(["slice", "keys", "doc", "sums"], *[pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.binary(), pa.binary(), pa.binary()))])
+        give_back()
+
+    ordered = cells.repartition("part", "salt").sortWithinPartitions("part", "salt", "is_row")
+    return ordered.mapInArrow(run, "slice long, keys binary, doc binary, sums binary")
+
+
+def unpacked(sums: pa.Table) -> pa.Table:
+    """(k1, k2, score) of a slice's rows."""
+    keys = next(np.frombuffer(x, "<i8").reshape(3, -1) for x in sums.column("keys").to_pylist() if x is not None)
+    total = np.zeros(keys.shape[1])
+    for doc, own in sorted((d, s) for d, s in zip(sums.column("doc").to_pylist(), sums.column("sums").to_pylist(), strict=True) if d is not None):
+        total[np.frombuffer(doc, "<u4")] += np.frombuffer(own, "<f8")
+    return pa.table({"k1": keys[0], "k2": keys[1], "score": total / np.maximum(keys[2], 1)})
+
+
 def by_join(rows: DataFrame, found: DataFrame, docs: DataFrame, n_buckets: int, whole: Column, key: tuple[Column, Column]) -> DataFrame:
-    """rows_judged where the weights are too many to send: (document, bucket, n) rows meet them, heavy buckets salted."""
+    """rows_judged where the weights are too many to send: documents' n-grams meet them by parts of 2 ** SPAN buckets.
+
+    A part has SALTS cells, one a task, and each cell its own copy of the part's weights. As buckets are in proportion
+    to characters, so are a cell's n-grams and the copies; what is shuffled is about three bytes for each different
+    n-gram of a document.
+    """
     k1, k2 = row_key()
-    each = docs.select(k1.alias("k1"), k2.alias("k2"), "text").dropDuplicates(["k1", "k2"]).select("k1", "k2", F.explode(buckets(F.col("text"), n_buckets)).alias("b"))
-    met = skew_join(each.groupBy("k1", "k2", "b").agg(F.count("*").alias("n")), found, "b")
-    scores = checkpoint(met.groupBy("k1", "k2").agg((F.sum(F.col("w").cast("double") * F.col("n")) / F.sum("n")).alias("score")))
+    each = docs.where(F.col("text").isNotNull()).select(k1.alias("k1"), k2.alias("k2"), buckets(F.col("text"), n_buckets).alias("b"))
+    pair = F.struct((F.col("b") % CHUNK + (F.shiftright("b", 16) % (1 << SPAN - 16)) * CHUNK).cast("int").alias("b"), "w")
+    chunks = found.groupBy(F.shiftright("b", 16).cast("long").alias("slice")).agg(F.collect_list(pair).alias("w"))
+    copies = chunks.select(F.shiftright("slice", SPAN - 16).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.lit(False).alias("is_row"), "slice", "w", *[F.lit(None).cast("binary").alias(c) for c in CELL_NAMES[5:]])
+    sums = summed(copies.unionByName(packed(each, SALTS)))
+    scores = checkpoint(sums.groupBy("slice").applyInArrow(unpacked, "k1 long, k2 long, score double").groupBy("k1", "k2").agg(F.max("score").alias("score")))
     own = rows.withColumns({"k1": key[0], "k2": key[1]}).join(scores, ["k1", "k2"], "left")
     full = own.withColumn("judged", judged(whole, lambda h: F.lit(0.0)))
     return full.withColumn("judged", F.col("judged").withField("score", F.coalesce("score", F.lit(0.0)))).select(*rows.columns, "judged")
