@@ -4,6 +4,7 @@ from tubeql import fixtures as fx
 from tubeql.operators import prototype, track
 from tubeql.plans import composite, plugins, stages
 from tubeql.plans.config import Config, coerce, load, merge, override
+from tubeql.queries import QUERIES
 from tubeql.sources import frames, labels, submissions
 from tubeql.streaming.track import track_stream
 
@@ -109,3 +110,18 @@ def test_stream_equals_batch(spark, sf, tmp_path):
         assert sorted(map(str, spark.table("tracked").collect())) == want
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_texts_are_no_column_of_their_boxes(spark):
+    """A document's text orders its entries; it goes with an entry, not with each of the boxes."""
+    text = lambda n, x: '[{"video_id": "v", "annotations": [{"bboxes": [%s]}]}]' % ", ".join('{"frame": %d, "x1": %d, "y1": 0, "x2": %d, "y2": 1}' % (i, x, x + 1) for i in range(n))
+    texts = spark.createDataFrame([(text(40, 1),), (text(30, 2),), ('[{"annotations": []}, {"video_id": "e"}]',)], "value string")
+    got = submissions.last_tubes(submissions.entries(texts))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, submissions.tubes(submissions.parse(texts)).collect()))
+    own = lambda df: sorted(map(tuple, df.collect()))
+    assert own(submissions.first_tube(submissions.entries(texts), "v")) == own(submissions.one_video(submissions.parse(texts), "v"))
+    with pytest.raises(Exception, match="no entry for video x"):
+        submissions.first_tube(submissions.entries(texts), "x").collect()
+    for name in ("gather_documents", "gt_round_trip", "gt_one_video"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" in plan and "Join" not in plan  # no boxes with their text that meet the last texts

@@ -663,19 +663,19 @@ def submission_rows(spark, sf):
 def gt_round_trip(spark, sf):
     """Ground truth to nested documents and back."""
     docs = submissions.documents(fx.gt(spark, sf)).select(F.concat(F.lit("["), "entry", F.lit("]")).alias("value"))
-    return submissions.tubes(submissions.parse(docs))
+    return submissions.last_tubes(submissions.entries(docs))
 
 
 @query(with_views("SELECT frame, x1, y1, x2, y2 FROM gt WHERE video_id = 4", "gt"))
 def gt_one_video(spark, sf):
     docs = submissions.documents(fx.gt(spark, sf)).select(F.concat(F.lit("["), "entry", F.lit("]")).alias("value"))
-    return submissions.one_video(submissions.parse(docs), "4")
+    return submissions.first_tube(submissions.entries(docs), "4")
 
 
 @query(with_views("SELECT DISTINCT CAST(video_id AS VARCHAR) AS video_id FROM gt", "gt"))
 def list_video_ids(spark, sf):
     docs = submissions.documents(fx.gt(spark, sf)).select(F.concat(F.lit("["), "entry", F.lit("]")).alias("value"))
-    return submissions.video_ids(submissions.parse(docs))
+    return submissions.video_ids(submissions.entries(docs).select("doc", "entry", "e.video_id"))
 
 
 @query(with_views("SELECT * FROM (SELECT video_id * 2 AS video_id, frame, x1 FROM gt WHERE video_id * 2 NOT IN (SELECT video_id FROM pred) UNION ALL SELECT video_id, frame, x1 FROM pred)", "gt", "pred"))
@@ -761,7 +761,7 @@ def gather_documents(spark, sf):
     """Documents of several files together."""
     text = lambda df, name: submissions.documents(df.withColumn("video_id", F.concat(F.lit(name), F.col("video_id").cast("string")))).select(F.concat(F.lit("["), "entry", F.lit("]")).alias("value"))
     both = text(fx.gt(spark, sf), "gt/").unionByName(text(fx.pred(spark, sf), "pred/"))
-    return submissions.tubes(submissions.parse(both)).select(*KEYS, "x1")
+    return submissions.last_tubes(submissions.entries(both)).select(*KEYS, "x1")
 
 
 @query(with_views("SELECT CAST(video_id AS VARCHAR) AS video_id, frame, CAST(round_even(x1, 0) AS INTEGER) AS x1, CAST(round_even(y2, 0) AS INTEGER) AS y2 FROM pred", "pred"))

@@ -17,8 +17,13 @@ def parse(texts: DataFrame, text: str = "value", order: str | None = None) -> Da
 
     doc orders the texts: the column `order`, or the text itself.
     """
+    return boxes(entries(texts, text, order))
+
+
+def entries(texts: DataFrame, text: str = "value", order: str | None = None) -> DataFrame:
+    """(doc, entry, e): the videos' entries of JSON texts. For tubes give this to last_tubes(): doc, which may be the text, is then no column of the boxes."""
     doc = F.col(order) if order else F.col(text)
-    return boxes(texts.select(doc.alias("doc"), F.posexplode(F.from_json(text, NESTED)).alias("entry", "e")))
+    return texts.select(doc.alias("doc"), F.posexplode(F.from_json(text, NESTED)).alias("entry", "e"))
 
 
 def scan(spark: SparkSession, *paths: str, range_bytes: int = arrays.RANGE) -> DataFrame:
@@ -47,7 +52,7 @@ def tubes(parsed: DataFrame) -> DataFrame:
 
 
 def last_tubes(entries: DataFrame) -> DataFrame:
-    """As tubes(), of scan(): the last entry of a video is kept whole before it is taken apart, so that it is read once."""
+    """As tubes(), of scan() or entries(): the last entry of a video is kept whole before it is taken apart, so that it is read once."""
     last = entries.where(F.col("e.video_id").isNotNull()).groupBy(F.col("e.video_id")).agg(F.max_by(F.struct("doc", "entry", "e"), F.struct("doc", "entry")).alias("_l"))
     own = boxes(last.select("_l.*")).where(F.col("frame").isNotNull())
     return _last(own.drop("doc", "entry"), ["video_id", "frame"], ["annotation", "item"])
@@ -62,6 +67,14 @@ def one_video(parsed: DataFrame, video_id: str) -> DataFrame:
     return _last(found.drop("_e", "doc", "entry", "video_id"), ["frame"], ["annotation", "item"])
 
 
+def first_tube(entries: DataFrame, video_id: str) -> DataFrame:
+    """As one_video(), of scan() or entries(): the first entry is kept whole before it is taken apart."""
+    own = entries.where(F.col("e.video_id") == video_id)
+    missing = F.raise_error(F.lit(f"no entry for video {video_id}"))
+    first = own.agg(F.min_by("e", F.struct("doc", "entry")).alias("e")).select(F.lit(0).alias("doc"), F.lit(0).alias("entry"), F.when(F.col("e").isNull(), missing).otherwise(F.col("e")).alias("e"))
+    return _last(boxes(first).where(F.col("frame").isNotNull()).drop("doc", "entry", "video_id"), ["frame"], ["annotation", "item"])
+
+
 def video_ids(parsed: DataFrame) -> DataFrame:
     """The ids as they are listed, repeats included."""
     return parsed.select("doc", "entry", "video_id").distinct().select("video_id")
