@@ -75,3 +75,10 @@ def test_crowds_are_folded_not_paired(spark, monkeypatch):
     by_id = lambda f: sorted(tuple(str(r[c]) for c in sorted(r.asDict())) for r in f(df, ["video_id", "frame"], "score", 0.3, "cand_id").collect())
     assert by_id(select.nms_dense) == by_id(select.nms)
     assert sum(made) < 10 * len(rows)
+
+
+def test_pairs_find_their_cell_without_arithmetic(spark):
+    """The cell of a pair's corner is told by flags of the two boxes, not worked out for each pair."""
+    pairs = select.overlapping_pairs(spark.createDataFrame(crowd(20), BOX), ["video_id", "frame"], "cand_id", 0.3)
+    join = next(x for x in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+    assert "_fx" in join and "pow" not in join.lower() and "floor" not in join.lower()
