@@ -148,3 +148,35 @@ def test_joined_weights_in_parts(spark, sf, monkeypatch):
     cells = quality.packed(each.where("b IS NOT NULL"), 3)
     n_grams, rows, slices = each.agg(F.sum(F.size("b"))).first()[0], cells.count(), cells.where("part < 0").count()
     assert slices < 4 * (n_grams / 5000 + 4) and rows <= 17 * slices < n_grams / 20
+
+
+def test_rows_of_n_grams_are_compiled_and_those_of_the_arrays(spark):
+    """Counting takes words as rows, without lambdas, and splits each text once; the rows are buckets(text), whatever the text."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), SCHEMA)
+    for n_buckets in (1 << 10, 1000, 1 << 38):
+        rows = quality.gram_rows(docs, n_buckets, "doc_id")
+        arrays = docs.select("doc_id", F.explode(quality.buckets(F.col("text"), n_buckets)).alias("b"))
+        assert rows.dtypes == arrays.dtypes and sorted(map(tuple, rows.collect())) == sorted(map(tuple, arrays.collect()))
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "lambda" not in plan and plan.count("split(") == 1
+
+
+def test_weights_are_one_array(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK", 8)
+    found = spark.createDataFrame([(b, b / 4) for b in (0, 7, 8, 30, 31)], "b int, w float")
+    assert quality.dense(found, 32).first().w == [b / 4 if b in (0, 7, 8, 30, 31) else 0.0 for b in range(32)]
+
+
+def test_keep_judges_a_text_once(spark):
+    """A filter over a struct column takes its expression once for each mention."""
+    docs, labels = spark.createDataFrame(list(enumerate(TEXTS)), SCHEMA), spark.createDataFrame([(14, 1)], "doc_id long, quality int")
+    plan = quality.keep(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_join(") == 1
+
+
+def test_longer_runs_are_made_only_where_four_words_come_again(spark):
+    """Runs of four come twice in the first and last, runs of five only in the last."""
+    texts = ["a b c d x1 a b c d x2 y1 y2 y3 y4", "a b c d x1 a b c x2 d y1 y2 y3 y4", "a b c d x1 y1 a b c d x1 y2 y3 y4", "a b c d", "a b c", "a"]
+    assert {r.doc_id: r.n_repeat_words for r in report(spark, list(enumerate(texts))).collect()} == {k: base(t)[4] for k, t in enumerate(texts)}

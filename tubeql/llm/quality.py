@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import SPACE_CLASS, batch, checkpoint, give_back, longs, numbered, row_key, skew_join
 
 LEAST_BUCKETS, CHARS_A_BUCKET = 1 << 20, 512
-#: Buckets whose weights are sent to all tasks at most (4 bytes each), and how many lie in one array.
+#: Buckets whose weights are sent to all tasks at most (4 bytes each), and how many are gathered in one array at first.
 MAX_DENSE, CHUNK = 1 << 23, 1 << 16
 #: Beyond, tasks hold the weights of 2 ** SPAN buckets at once (16 to 24 bits), a part; a part is dealt to SALTS cells.
 SPAN, SALTS = 22, 16
@@ -71,9 +71,8 @@ def beside(a: Column, b: Column, by: int) -> Column:
     return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(by + 1), n), lambda x, y: F.xxhash64(x, y))
 
 
-def windows(hashes: Column, pairs: Column) -> Column:
-    """Hashes of all runs of WINDOW words, made of two pairs of neighbours and a word; pairs: beside(hashes, hashes, 1)."""
-    return let(beside(pairs, pairs, 2), lambda four: beside(four, hashes, WINDOW - 1))
+def all_different(hashes: Column) -> Column:
+    return F.size(F.array_distinct(hashes)) == F.size(hashes)
 
 
 def covered(hashes: Column, width: int = WINDOW) -> Column:
@@ -87,7 +86,16 @@ def covered(hashes: Column, width: int = WINDOW) -> Column:
 
     step = lambda p, x, k: F.least(F.lit(width), F.coalesce(F.get(p, k + 1) - x, F.lit(width)))
     total = lambda p: F.aggregate(F.transform(p, lambda x, k: step(p, x, k)), F.lit(0), lambda a, x: a + x)
-    return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(positions(h), total)))
+    return let(hashes, lambda h: F.when(all_different(h), F.lit(0)).otherwise(let(positions(h), total)))
+
+
+def repeated_words(hashes: Column, pairs: Column) -> Column:
+    """How many words lie in runs of WINDOW words that come twice or more; pairs: beside(hashes, hashes, 1).
+
+    A run's hash is made of two pairs of neighbours and a word. Where all runs of two pairs differ, so do the longer
+    ones, which then aren't made.
+    """
+    return let(beside(pairs, pairs, 2), lambda four: F.when(all_different(four), F.lit(0)).otherwise(covered(beside(four, hashes, WINDOW - 1))))
 
 
 def judged(text: Column, mean: Callable[[Column], Column]) -> Column:
@@ -99,7 +107,7 @@ def judged(text: Column, mean: Callable[[Column], Column]) -> Column:
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
 
     def of_hashes(h: Column) -> Column:
-        return let(beside(h, h, 1), lambda p: F.struct(covered(windows(h, p)).cast("long").alias("r"), let(F.concat(h, p), mean).alias("score")))
+        return let(beside(h, h, 1), lambda p: F.struct(repeated_words(h, p).cast("long").alias("r"), let(F.concat(h, p), mean).alias("score")))
 
     def of_words(ws: Column) -> Column:
         return F.struct(F.size(ws).cast("long").alias("n"), F.length(F.array_join(ws, "")).cast("long").alias("chars"), let(word_hashes(ws), of_hashes).alias("h"))
@@ -131,6 +139,18 @@ def buckets(text: Column, n_buckets: int) -> Column:
     return F.transform(both, lambda x: bucket(x, n_buckets))
 
 
+def gram_rows(docs: DataFrame, n_buckets: int, *others: str) -> DataFrame:
+    """A row a word and word pair: its bucket b, and the columns others; the buckets are those of buckets(text).
+
+    Words become rows before they are hashed: Spark compiles expressions over rows, and interprets lambdas over arrays.
+    """
+    lists = docs.select(*others, words(F.col("text")).alias("ws"))
+    each = lists.select(*others, "ws", F.posexplode_outer("ws").alias("i", "word")).where("word IS NOT NULL")  # outer: else texts are split twice, in a filter that Spark adds
+    own, after = F.xxhash64("word"), F.xxhash64(F.get("ws", F.col("i") + 1))
+    both = F.when(F.col("i") + 1 < F.size("ws"), F.array(own, F.xxhash64(own, after))).otherwise(F.array(own))
+    return each.select(*others, F.explode(both).alias("h")).select(*others, bucket(F.col("h"), n_buckets).alias("b"))
+
+
 def length_of(docs: DataFrame) -> int:
     """Characters of all texts; one pass over their lengths."""
     return int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)
@@ -152,7 +172,7 @@ def counted(docs: DataFrame, labels: DataFrame, n_buckets: int, chars: int, most
     good = checkpoint(trusted(labels)).withColumn("t", F.lit(1).cast("long"))
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     found = rows.join(F.broadcast(good), "id", "left") if good.count() <= most else skew_join(rows, good, "id", "left")
-    each = found.select(F.coalesce("t", F.lit(0)).alias("t"), F.explode(buckets(F.col("text"), n_buckets)).alias("b"))
+    each = gram_rows(found.select(F.coalesce("t", F.lit(0)).alias("t"), "text"), n_buckets, "t")
     if chars < 1 << 31:  # no count can be more, so one long holds both: a third less is shuffled
         sums = each.groupBy("b").agg(F.sum(F.lit(1 << 32) + F.col("t")).alias("both"))
         return checkpoint(sums.select("b", F.shiftright("both", 32).alias("raw"), F.col("both").bitwiseAND(F.lit((1 << 32) - 1)).alias("target")))
@@ -170,10 +190,10 @@ def weights(counts: DataFrame) -> DataFrame | None:
 
 
 def dense(found: DataFrame, n_buckets: int) -> DataFrame:
-    """One row with the weights as an array of arrays of CHUNK; buckets that do not occur weigh 0."""
+    """One row with the weights as an array, put together from arrays of CHUNK; buckets that do not occur weigh 0."""
     every = found.sparkSession.range(n_buckets).join(found, F.col("id") == F.col("b"), "left").select(F.col("id"), F.coalesce("w", F.lit(0.0).cast("float")).alias("w"))
     parts = every.groupBy(F.floor(F.col("id") / CHUNK).alias("part")).agg(F.sort_array(F.collect_list(F.struct("id", "w")))["w"].alias("w"))
-    return parts.agg(F.sort_array(F.collect_list(F.struct("part", "w")))["w"].alias("w"))
+    return parts.agg(F.flatten(F.sort_array(F.collect_list(F.struct("part", "w")))["w"]).alias("w"))
 
 
 def rows_judged(rows: DataFrame, labels: DataFrame, text: str, doc_id: str, n_buckets: int | None = None, most: int = MAX_DENSE) -> DataFrame:
@@ -188,9 +208,7 @@ def rows_judged(rows: DataFrame, labels: DataFrame, text: str, doc_id: str, n_bu
     if n_buckets <= most:
 
         def mean(h: Column) -> Column:
-            weight = lambda b: F.get(F.get(F.col("w"), F.shiftright(b, 16)), b.bitwiseAND(CHUNK - 1))
-            each = F.transform(h, lambda x: weight(bucket(x, n_buckets)))
-            return F.aggregate(each, F.lit(0.0), lambda t, w: t + w) / F.greatest(F.size(h), F.lit(1))
+            return F.aggregate(h, F.lit(0.0), lambda t, x: t + F.get(F.col("w"), bucket(x, n_buckets))) / F.greatest(F.size(h), F.lit(1))
 
         return rows.withColumn("w", dense(found, n_buckets).scalar()).withColumn("judged", judged(whole, mean)).drop("w")
     return by_join(rows, found, docs, n_buckets, whole, row_key(text, doc_id))
@@ -294,12 +312,12 @@ def by_join(rows: DataFrame, found: DataFrame, docs: DataFrame, n_buckets: int,
     sums = summed(copies.unionByName(packed(each, SALTS)))
     scores = checkpoint(sums.groupBy("slice").applyInArrow(unpacked, "k1 long, k2 long, score double").groupBy("k1", "k2").agg(F.max("score").alias("score")))
     own = rows.withColumns({"k1": key[0], "k2": key[1]}).join(scores, ["k1", "k2"], "left")
-    full = own.withColumn("judged", judged(whole, lambda h: F.lit(0.0)))
-    return full.withColumn("judged", F.col("judged").withField("score", F.coalesce("score", F.lit(0.0)))).select(*rows.columns, "judged")
+    return own.withColumn("judged", judged(whole, lambda h: F.coalesce("score", F.lit(0.0)))).select(*rows.columns, "judged")
 
 
 def kept(threshold: float) -> Column:
-    return ~F.col("judged.failed") & (F.col("judged.score") >= threshold)
+    """Names `judged` once: a filter takes the place of its columns' expressions, and would judge texts once a mention."""
+    return let(F.col("judged"), lambda j: ~j["failed"] & (j["score"] >= threshold))
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, n_buckets: int | None = None) -> DataFrame:
