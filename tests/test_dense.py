@@ -82,3 +82,38 @@ def test_pairs_find_their_cell_without_arithmetic(spark):
     pairs = select.overlapping_pairs(spark.createDataFrame(crowd(20), BOX), ["video_id", "frame"], "cand_id", 0.3)
     join = next(x for x in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
     assert "_fx" in join and "pow" not in join.lower() and "floor" not in join.lower()
+
+
+def test_crowds_meet_as_blocks(spark, monkeypatch):
+    """The join of a crowd has a row a pair of blocks, not a row a pair of boxes; copies of a box are paired like others."""
+    rng = random.Random(7)
+    rows = [(1, i % 2, i, x, y, x + 40 + i % 5, y + 41, 0.5) for i in range(600) for x, y in [(rng.randrange(6) * 1.0, rng.randrange(6) * 1.0)]]
+    want = {(a[1], a[2], b[2], iou(a[3:7], b[3:7])) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[1] == b[1] and iou(a[3:7], b[3:7]) > 0.3}
+    for block in (select.BLOCK, 7):
+        monkeypatch.setattr(select, "BLOCK", block)
+        pairs = select.overlapping_pairs(spark.createDataFrame(rows, BOX), ["video_id", "frame"], "cand_id", 0.3)
+        got = [(r.frame, r.cand_id, r.other_id, r.iou) for r in pairs.collect()]
+        assert len(got) == len(want) > 80000 and set(got) == want
+        node, joined = pairs._jdf.queryExecution().optimizedPlan(), 0
+        while not node.nodeName().startswith("Join"):
+            node = node.children().head()
+        joined = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, node).count()
+        assert joined < len(want) / 10
+
+
+def test_equal_ids_are_no_pair(spark):
+    """As in the query's SQL: other ids only, also where two sizes share an id; a null key or id has no pairs."""
+    rows = [(1, 0, 5, 0.0, 0.0, 10.0, 10.0, 0.5), (1, 0, 5, 0.0, 0.0, 10.0, 17.0, 0.5), (1, 0, 6, 0.0, 0.0, 10.0, 17.0, 0.5), (1, 0, None, 0.0, 0.0, 10.0, 17.0, 0.5)]
+    rows += [(None, 0, i, 0.0, 0.0, 10.0, 10.0, 0.5) for i in (7, 8)]
+    got = select.overlapping_pairs(spark.createDataFrame(rows, BOX), ["video_id", "frame"], "cand_id", 0.3).collect()
+    assert sorted((r.cand_id, r.other_id, round(r.iou, 6)) for r in got) == [(5, 6, round(100 / 170, 6)), (5, 6, 1.0)]
+
+
+def test_quick_rounding_is_the_plain_one(spark):
+    from pyspark.sql import functions as F
+
+    from tubeql.queries import quick6
+
+    values = [0.0, 1.0, 1 / 3, 0.1234565, 0.4999995, 0.9999995, 0.3000005, 0.30000049999999997, 5e-7] + [k / n for n in (64, 1000, 3125, 4199) for k in range(0, n, 7)] + [k / 2e6 for k in range(600001, 602001)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert df.where(quick6("v") != F.round("v", 6)).count() == 0
